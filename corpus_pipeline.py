@@ -4,18 +4,30 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import common, decontaminate, language_id
+from quarry.llm import common, decontaminate, jaccard, language_id, mixing, quality
 
 
 def _language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return language_id.keep_identified(docs)
 
 
+def _quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def _near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return jaccard.keep_one(docs)
+
+
 def _decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return decontaminate.remove_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
-STAGES = [("language_id", _language), ("decontamination", _decontaminate)]
+def _mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.mix(docs)
+
+
+STAGES = [("language_id", _language), ("quality", _quality), ("ngram_jaccard", _near_duplicates), ("decontamination", _decontaminate), ("mixing", _mixing)]
 
 #: Trained models and seeded permutations are beyond SQL; tests compare with brute force.
 ORACLE_SQL = None
