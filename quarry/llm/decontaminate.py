@@ -224,9 +224,9 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> Data
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, doc_word long, item_id string, item_word long, n_words long")
 
 
-def remove_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents, with their own columns, that are not contaminated."""
+def remove_contaminated(docs: DataFrame, benchmark: DataFrame, min_items: int = MIN_ITEMS) -> DataFrame:
+    """The documents, with their own columns, in which windows of fewer than min_items items occur."""
     columns = docs.columns
     inner = docs.select(*[F.col(f"`{c}`").alias(f"own_{i}") for i, c in enumerate(columns)], F.col("text"))
-    out = annotate(inner, benchmark, keep=[c for c in inner.columns if c != "text"]).where("not contaminated")
+    out = annotate(inner, benchmark, min_items=min_items, keep=[c for c in inner.columns if c != "text"]).where("not contaminated")
     return out.select(*[F.col(f"own_{i}").alias(c) for i, c in enumerate(columns)])
