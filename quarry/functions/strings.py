@@ -73,11 +73,14 @@ def ngram_similarity(a: str, b: str, n: int = 2) -> float:
 
 
 def _pairs(fn, kind: str):
-    @F.pandas_udf(kind)
-    def udf(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([None if x is None or y is None else fn(x, y) for x, y in zip(a, b, strict=True)])
+    def column(a: Column, b: Column | str) -> Column:
+        @F.pandas_udf(kind)
+        def udf(a: pd.Series, b: pd.Series) -> pd.Series:
+            return pd.Series([None if x is None or y is None else fn(x, y) for x, y in zip(a, b, strict=True)])
 
-    return lambda a, b: udf(a, b if isinstance(b, Column) else F.lit(b))
+        return udf(a, b if isinstance(b, Column) else F.lit(b))
+
+    return column
 
 
 #: Number of edits with swaps of neighbours.

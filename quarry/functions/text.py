@@ -34,11 +34,11 @@ def shingles(tokens: Column, n: int, separator: str = " ") -> Column:
 
 def ngrams(token: Column, low: int, high: int) -> Column:
     """Character n-grams of low to high characters."""
-    parts = []
-    for n in range(low, high + 1):
+    def of(n: int) -> Column:
         last = F.length(token) - n + 1
-        parts.append(F.when(last >= 1, F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i, n=n: F.substring(token, i, F.lit(n)))).otherwise(F.array().cast("array<string>")))
-    return F.concat(*parts)
+        return F.when(last >= 1, F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.substring(token, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+
+    return F.concat(*[of(n) for n in range(low, high + 1)])
 
 
 def edge_ngrams(token: Column, low: int, high: int) -> Column:

@@ -10,6 +10,8 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.vectors import dot
+
 LAST, FIRST = "last", "first"
 
 
@@ -116,11 +118,11 @@ def rescore_expression(hits: DataFrame, window: int, docs: DataFrame, expr: str,
 
 def sum_max_similarity(query: list[list[float]], vectors: Column) -> Column:
     """Late interaction: for each query vector the best dot product with any of a document's, summed."""
-    total = F.lit(0.0)
-    for q in query:
-        dots = F.transform(vectors, lambda v, q=q: F.aggregate(F.zip_with(v, F.array(*[F.lit(float(x)) for x in q]), lambda a, b: a.cast("double") * b), F.lit(0.0), lambda s, x: s + x))
-        total = total + F.array_max(dots)
-    return total
+
+    def best(q: list[float]) -> Column:
+        return F.array_max(F.transform(vectors, lambda v: dot(v, q)))
+
+    return functools.reduce(Column.__add__, [best(q) for q in query])
 
 
 def early(hits: DataFrame, n: int) -> DataFrame:

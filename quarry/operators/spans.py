@@ -42,11 +42,14 @@ def _freq(index: Index, name: str, slots: list[Callable[[Column], Column]], offs
     docs = _slots(index, name, slots)
     starts = F.array_distinct(F.col("p0"))
     for i in range(1, len(slots)):
-        d = offsets[i] - offsets[0]
-        starts = F.array_intersect(starts, F.transform(f"p{i}", lambda p, d=d: p - d))
+        starts = F.array_intersect(starts, _shifted(f"p{i}", offsets[i] - offsets[0]))
     return docs.select("doc_id", F.size(starts).cast("double").alias("freq")).where("freq > 0")
 
 
+def _shifted(positions: str, by: int) -> Column:
+    return F.transform(positions, lambda p: p - by)
+
+
 def phrase_freq(index: Index, name: str, terms: list[str], offsets: list[int] | None = None) -> DataFrame:
     return _freq(index, name, [_equals([t]) for t in terms], offsets or list(range(len(terms))))
 
@@ -278,12 +281,20 @@ def near_unordered(clauses: list[list[tuple[int, int]]], slop: int) -> list[tupl
     return sorted(set(out))
 
 
-def _by_row(fn: Callable[[list[list[tuple[int, int]]]], list[tuple[int, int]]]):
-    @F.pandas_udf(SPANS)
+def _flat(spans: Column | str) -> Column:
+    return F.flatten(F.transform(spans, lambda x: F.array(x["s"], x["e"])))
+
+
+def _by_row(docs: DataFrame, names: list[str], fn: Callable[[list[list[tuple[int, int]]]], list[tuple[int, int]]]) -> DataFrame:
+    """(doc_id, spans) by a function of each document's lists of spans, where there are any. Spans cross as flat arrays of numbers."""
+
+    @F.pandas_udf("array<int>")
     def udf(rows: pd.Series) -> pd.Series:
-        return pd.Series([[{"s": s, "e": e} for s, e in fn([[(x["s"], x["e"]) for x in c] for c in row])] for row in rows])
+        return pd.Series([[v for x in fn([list(zip(c[::2].tolist(), c[1::2].tolist(), strict=True)) for c in row]) for v in x] for row in rows])
 
-    return udf
+    flat = docs.select("doc_id", udf(F.array(*[_flat(n) for n in names])).alias("f")).where(F.size("f") > 0)
+    pair = F.transform(F.sequence(F.lit(0), F.size("f") - 1, F.lit(2)), lambda i: F.struct(F.get("f", i).alias("s"), F.get("f", i + 1).alias("e")))
+    return flat.select("doc_id", pair.alias("spans"))
 
 
 @dataclass(frozen=True)
@@ -298,8 +309,7 @@ class SpanNear(Span):
     def spans(self, index: Index) -> DataFrame:
         docs = _joined(index, *self.clauses)
         slop, fn = self.slop, near_ordered if self.ordered else near_unordered
-        out = docs.select("doc_id", _by_row(lambda c: fn(c, slop))(F.array(*[f"s{i}" for i in range(len(self.clauses))])).alias("spans"))
-        return out.where(F.size("spans") > 0)
+        return _by_row(docs, [f"s{i}" for i in range(len(self.clauses))], lambda c: fn(c, slop))
 
 
 @dataclass(frozen=True)
@@ -331,8 +341,7 @@ class SpanNearGaps(Span):
             moved = [[(s - w, e - w) for s, e in c] for c, w in zip(cs, widths, strict=True)]
             return [(s, e + widths[-1]) for s, e in near_ordered(moved, slop)]
 
-        out = docs.select("doc_id", _by_row(fn)(F.array(*[f"s{i}" for i in range(len(real))])).alias("spans"))
-        return out.where(F.size("spans") > 0)
+        return _by_row(docs, [f"s{i}" for i in range(len(real))], fn)
 
 
 @dataclass(frozen=True)
