@@ -7,6 +7,7 @@ string (`analyze`). Components are registered by name, so that chains can be des
 
 from __future__ import annotations
 
+import functools
 import html
 import re
 import unicodedata
@@ -200,17 +201,27 @@ def standard(max_length: int = 255) -> Tokenizer:
     """Words by Unicode's word boundaries; longer ones are cut into pieces of max_length."""
 
     def run(text: str) -> Iterator[Token]:
-        for m in _WORD.finditer(text):
-            if not _HAS_WORD.search(m[0]):
-                continue
-            kind = _type(m[0])
-            for k in range(0, len(m[0]), max_length):
-                part = m[0][k : k + max_length]
-                yield Token(part, m.start() + k, m.start() + k + len(part), type=kind)
+        for chunk in _CHUNK.finditer(text):
+            at = chunk.start()
+            for s, e, kind in _cut(chunk[0]):
+                for k in range(s, e, max_length):
+                    part = chunk[0][k : min(e, k + max_length)]
+                    yield Token(part, at + k, at + k + len(part), type=kind)
 
     return run
 
 
+_CHUNK = re.compile(r"\S+")
+
+
+@functools.lru_cache(200_000)
+def _cut(chunk: str) -> tuple[tuple[int, int, str], ...]:
+    """(start, end, type) of the words of a run without white space; boundaries never reach across it."""
+    if chunk.isascii() and chunk.isalpha():
+        return ((0, len(chunk), "<ALPHANUM>"),)
+    return tuple((m.start(), m.end(), _type(m[0])) for m in _WORD.finditer(chunk) if _HAS_WORD.search(m[0]))
+
+
 def _matches(pattern: str, kind: str = "word") -> Tokenizer:
     p = regex.compile(pattern)
 

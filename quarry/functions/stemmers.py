@@ -82,25 +82,37 @@ def porter(w: str) -> str:
     return w[:-1] if w.endswith("ll") and _measure(w) > 1 else w
 
 
-def suffix_stemmer(*groups: tuple[int, str], fold: Callable[[str], str] | None = None, prefixes: tuple[int, str] | None = None) -> Callable[[str], str]:
-    """A stemmer by groups of suffixes: of each group in turn the longest that fits goes, if so many characters remain."""
-    rules = [(least, sorted(words.split(), key=len, reverse=True)) for least, words in groups]
-    before = (prefixes[0], sorted(prefixes[1].split(), key=len, reverse=True)) if prefixes else None
-
-    @functools.lru_cache(100_000)
-    def stem(w: str) -> str:
-        w = fold(w) if fold else w
-        if before:
-            w = next((w[len(p) :] for p in before[1] if w.startswith(p) and len(w) - len(p) >= before[0]), w)
-        for least, suffixes in rules:
-            for s in suffixes:
-                old, _, new = s.partition(">")
+class SuffixStemmer:
+    """A stemmer by groups of suffixes: of each group in turn the longest that fits goes, if so many characters remain; a > b puts b in its place."""
+
+    def __init__(self, groups: tuple[tuple[int, str], ...], fold: Callable[[str], str] | None, prefixes: tuple[int, str] | None):
+        parse = lambda words: sorted((tuple(w.partition(">")[::2]) for w in words.split()), key=lambda x: -len(x[0]))
+        self.rules = [(least, parse(words)) for least, words in groups]
+        self.before = (prefixes[0], parse(prefixes[1])) if prefixes else None
+        self.fold = fold
+        self.known: dict[str, str] = {}
+
+    def __call__(self, w: str) -> str:
+        if (out := self.known.get(w)) is None:
+            if len(self.known) > 100_000:
+                self.known.clear()
+            out = self.known[w] = self._stem(w)
+        return out
+
+    def _stem(self, w: str) -> str:
+        w = self.fold(w) if self.fold else w
+        if self.before:
+            w = next((new + w[len(old) :] for old, new in self.before[1] if w.startswith(old) and len(w) - len(old) >= self.before[0]), w)
+        for least, suffixes in self.rules:
+            for old, new in suffixes:
                 if w.endswith(old) and len(w) - len(old) >= least:
                     w = w[: len(w) - len(old)] + new
                     break
         return w
 
-    return stem
+
+def suffix_stemmer(*groups: tuple[int, str], fold: Callable[[str], str] | None = None, prefixes: tuple[int, str] | None = None) -> SuffixStemmer:
+    return SuffixStemmer(groups, fold, prefixes)
 
 
 def _plain(table: str) -> Callable[[str], str]:
