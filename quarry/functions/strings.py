@@ -44,8 +44,8 @@ def jaro_winkler(a: str, b: str, threshold: float = 0.7, scale: float = 0.1) ->
     jaro = (m / len(a) + m / len(b) + (m - swaps) / m) / 3
     if jaro < threshold:
         return jaro
-    prefix = next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
-    return jaro + min(scale, 1 / max(len(a), len(b))) * prefix * (1 - jaro)
+    prefix = next((i for i, (x, y) in enumerate(zip(a[:4], b[:4], strict=False)) if x != y), min(4, len(a), len(b)))
+    return jaro + scale * prefix * (1 - jaro)
 
 
 def ngram_similarity(a: str, b: str, n: int = 2) -> float:

@@ -156,7 +156,7 @@ R.add("suggest_infix", _D + "contains(term, 'ing') order by ttf desc, term limit
 R.add("suggest_fuzzy", _D + "levenshtein(term, 'clowm') <= 1 order by ttf desc, term limit 10")(lambda s, d: S.fuzzy(_words(s, d), "clowm").select("term", "weight"))
 R.add("suggest_fuzzy_prefix", _D + "levenshtein(substring(term, 1, 3), 'idip') <= 1 or levenshtein(substring(term, 1, 4), 'idip') <= 1 or levenshtein(substring(term, 1, 5), 'idip') <= 1 order by ttf desc, term limit 10")(lambda s, d: S.fuzzy_prefix(_words(s, d), "idip").select("term", "weight"))
 R.add("suggest_regex", _D + "regexp_matches(term, '^(st[au])') order by ttf desc, term limit 10")(lambda s, d: S.regex(_words(s, d), "st[au]").select("term", "weight"))
-R.add("suggest_fst", f"with {TOK}, b as (select term, ttf::bigint as weight, ntile(10) over (order by ttf, term) as bucket from df where starts_with(term, 'th')) select term, weight from b order by (term = 'the') desc, bucket desc, term limit 10")(lambda s, d: S.fst(_words(s, d), "th").select("term", "weight"))
+R.add("suggest_fst", f"with {TOK}, b as (select term, ttf::bigint as weight, ntile(10) over (order by ttf, term) as bucket from df where starts_with(term, 'th')) select term, weight from b order by (term = 'th') desc, bucket desc, term limit 10")(lambda s, d: S.fst(_words(s, d), "th").select("term", "weight"))
 R.add("suggest_context", "select p_type as term, (sum(p_size) * 2)::double as weight from part where starts_with(p_type, 'S') group by 1 having count(*) filter (p_brand = 'Brand#22') > 0 order by 2 desc, 1 limit 5")(lambda s, d: S.in_context(S.dictionary(table(s, d, "part"), "p_type", "p_size", contexts="p_brand"), "S", {"Brand#22": 2.0}, 5).select("term", "weight"))
 R.add("suggest_blended", f"with {TOK} select term, avg(w) as weight from (select * from (select term, ttf as w from df where starts_with(term, 'th') order by ttf desc, term limit 10) union all select * from (select term, ttf from df where contains(term, 'the') order by ttf desc, term limit 10)) group by 1 order by 2 desc, 1 limit 10")(lambda s, d: S.blended([S.prefix(_words(s, d), "th"), S.infix(_words(s, d), "the")]))
 R.add("suggest_free_text", f"with {TOK}, b as (select term, lag(term) over (partition by doc_id order by pos) as p from tok), l as (select term, count(*) / (select count(*) from b where p = 'of')::double as w, 1 as m from b where p = 'of' and starts_with(term, 'th') group by 1 union all select term, 0.4 * count(*) / (select count(*) from b)::double, 0 from b where starts_with(term, 'th') group by 1) select term, round(arg_max(w, m), 6) as weight from l group by 1 order by arg_max(w, m) desc, term limit 5")(lambda s, d: S.free_text(documents(s, d).tokens("text"), "of th", 2, 5).withColumn("weight", F.round("weight", 6)))
