@@ -7,6 +7,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions import similarity as sim
 from ..functions import text as text_functions
@@ -40,9 +41,9 @@ class Index:
 
     def tokens(self, name: str) -> DataFrame:
         """(doc_id, pos, term) of a field."""
-        arr = self.fields[name](F.col(name))
-        exploded = self.docs.select(F.col(self.key).alias("doc_id"), F.posexplode(arr).alias("pos", "term"))
-        if isinstance(exploded.schema["term"].dataType, type(exploded.schema["doc_id"].dataType)) or not hasattr(exploded.schema["term"].dataType, "names"):
+        arrays = self.docs.select(F.col(self.key), self.fields[name](F.col(name)).alias("_t"))
+        exploded = arrays.select(F.col(self.key).alias("doc_id"), F.posexplode("_t").alias("pos", "term"))
+        if not isinstance(exploded.schema["term"].dataType, StructType):
             return exploded
         return exploded.select("doc_id", F.col("term.pos").alias("pos"), F.col("term.term").alias("term"))
 

@@ -287,6 +287,37 @@ class Extend(Compound):
         return [(max(0, s - self.before), e + self.after, w + self.before + self.after) for s, e, w in self.source.at(p)]
 
 
+@dataclass(frozen=True)
+class FixField(Source):
+    """A source on another field of the same documents."""
+
+    field: str
+    source: Source
+
+    def at(self, p: Positions) -> list[Interval]:
+        mark = self.field + "\0"
+        return self.source.at({t[len(mark) :]: v for t, v in p.items() if t.startswith(mark)})
+
+
+def fixed(source: Source) -> list[FixField]:
+    """The sources on other fields within a source."""
+    return [source] if isinstance(source, FixField) else [f for s in source.parts() for f in fixed(s)]
+
+
+@dataclass(frozen=True)
+class PayloadTerm(Source):
+    """A term at positions whose payload passes: the index's analyzer gives terms as term|payload."""
+
+    term: str
+    accepts: Callable[[str], bool]
+
+    def at(self, p: Positions) -> list[Interval]:
+        return sorted((x, x, 1) for t, xs in p.items() if t.partition("|")[0] == self.term and self.accepts(t.partition("|")[2]) for x in xs)
+
+    def patterns(self) -> list[Q.MultiTerm]:
+        return [Q.Prefix("", prefix=self.term + "|")]
+
+
 def analyzed(terms: list[str], gaps: int = 0, ordered: bool = True) -> Source:
     """Analyzed text in order (or not) with at most so many gaps; -1: any."""
     parts = tuple(Term(t) for t in terms)
@@ -315,12 +346,17 @@ class Intervals(Q.Query):
         return self._run(index, "array<int>", lambda found: [v for s, e, _ in found for v in (s, e)]).where(F.size("value") > 0).select("doc_id", F.col("value").alias("intervals"))
 
     def _run(self, index: Index, kind: str, out: Callable[[list[Interval]], object]) -> DataFrame:
-        tests: list[Column] = [q.accepts(F.col("term")) for q in self.source.patterns()]
-        if self.source.terms():
-            tests.append(F.col("term").isin(*sorted(self.source.terms())))
-        if not tests:
+        parts = []
+        for name, mark, own in [(self.field, "", self.source), *((f.field, f.field + "\0", f.source) for f in fixed(self.source))]:
+            tests: list[Column] = [q.accepts(F.col("term")) for q in own.patterns()]
+            if own.terms():
+                tests.append(F.col("term").isin(*sorted(own.terms())))
+            if tests:
+                rows = index.postings(name, functools.reduce(Column.__or__, tests))
+                parts.append(rows.select("doc_id", F.concat(F.lit(mark), "term").alias("term"), "positions"))
+        if not parts:
             return index.ids().where(F.lit(False)).select("doc_id", F.lit(None).cast(kind).alias("value"))
-        rows = index.postings(self.field, functools.reduce(Column.__or__, tests))
+        rows = Q.union_all(parts)
         docs = rows.groupBy("doc_id").agg(F.collect_list("term").alias("t"), F.collect_list("positions").alias("p"))
         source = self.source
 

@@ -412,3 +412,46 @@ class SpanPayload(Span):
         rows = self.term.spans(index).select("doc_id", F.explode("spans").alias("x"))
         ok = self.payloads.where(self.accepts(F.col("payload"))).select("doc_id", "pos")
         return rows.join(ok, (rows["doc_id"] == ok["doc_id"]) & (F.col("x.s") == ok["pos"])).groupBy(rows["doc_id"]).agg(F.array_sort(F.collect_list("x")).alias("spans"))
+
+
+# --- token graphs -----------------------------------------------------------------------------------
+
+
+@dataclass(frozen=True)
+class TermAutomaton(Q.Query):
+    """Documents with a run of consecutive tokens that a graph of terms accepts, scored by how many places start one.
+
+    transitions: (state, term or None for any term, next state); runs start at state 0 and end in an accepting state.
+    """
+
+    field: str
+    transitions: tuple[tuple[int, str | None, int], ...]
+    accept: tuple[int, ...]
+
+    def own_terms(self) -> set[tuple[str, str]]:
+        return {(self.field, t) for _, t, _ in self.transitions if t is not None}
+
+    def hits(self, index: Index) -> DataFrame:
+        terms = sorted({t for _, t, _ in self.transitions if t is not None})
+        rows = index.postings(self.field, F.col("term").isin(*terms))
+        docs = rows.groupBy("doc_id").agg(F.collect_list("term").alias("t"), F.collect_list("positions").alias("p")).join(index.lengths(self.field), "doc_id")
+        edges, accept = self.transitions, set(self.accept)
+
+        def count(terms: list[str], positions: list[list[int]], length: int) -> float:
+            at = {p: t for t, ps in zip(terms, positions, strict=True) for p in ps}
+            found = 0
+            for start in range(length):
+                states, p = {0}, start
+                while states and p < length:
+                    states = {n for s, t, n in edges if s in states and (t is None or at.get(p) == t)}
+                    p += 1
+                    if states & accept:
+                        found += 1
+                        break
+            return float(found)
+
+        @F.pandas_udf("double")
+        def udf(t: pd.Series, p: pd.Series, n: pd.Series) -> pd.Series:
+            return pd.Series([count(list(a), [list(x) for x in b], int(c)) for a, b, c in zip(t, p, n, strict=True)])
+
+        return docs.select("doc_id", udf("t", "p", "dl").alias("score")).where("score > 0")

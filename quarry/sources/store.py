@@ -12,6 +12,8 @@ import uuid
 from collections.abc import Iterable
 from dataclasses import dataclass, field
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,9 +55,6 @@ class Schema:
 
 def truncated_feature(value):
     """A positive float as a feature field keeps it: with the 15 lowest bits of its float form cleared."""
-    import numpy as np
-    import pandas as pd
-
     @F.pandas_udf("float")
     def udf(s: pd.Series) -> pd.Series:
         bits = s.to_numpy(np.float32, na_value=np.nan).view(np.uint32) & np.uint32(0xFFFF8000)
