@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, jaccard, language_id, lm_score, mixing, page_text, quality, topk, toxicity, warc
+from . import decontaminate, jaccard, language_id, lm_score, mixing, page_text, quality, sql, topk, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,4 +55,4 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality, op2_warc, op3_jaccard, op4_topk, op5_toxicity, op6_decontaminate, op7_language_id, op8_mixing, op9_page_text, op10_lm_score)}
 
-ORACLES: dict[str, str] = {"op2_warc": warc.SQL, "op4_topk": topk.SQL}
+ORACLES: dict[str, str] = {"op2_warc": warc.SQL, "op3_jaccard": sql.JACCARD, "op4_topk": topk.SQL, "op6_decontaminate": sql.DECONTAMINATE}
