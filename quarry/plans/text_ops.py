@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 import pandas as pd
 from pyspark.sql import functions as F
 
@@ -216,7 +214,7 @@ def _stream(s, d):
     # a file source wants a folder: the glob makes the one file a folder's only match
     docs = s.readStream.schema(one.schema).option("pathGlobFilter", "*.parquet").parquet(f"{src}*")
     out = streaming.percolate(docs, _monitor()).select("doc_id", "query")
-    return streaming.run_available(out, f"percolated_{abs(hash(d)) % 10**8}_{id(out)}", tempfile.mkdtemp(prefix="stream-"))
+    return streaming.run_available(out, f"percolated_{abs(hash(d)) % 10**8}_{id(out)}", store.scratch_path(s, "stream"))
 
 
 # --- stored indexes ------------------------------------------------------------------------------------------------
@@ -226,7 +224,7 @@ def _stream(s, d):
 def _stored(s, d):
     from ..operators.collect import top
 
-    st = store.IndexStore(s, tempfile.mkdtemp(prefix="index-"))
+    st = store.IndexStore(s, store.scratch_path(s, "index"))
     docs = table(s, d, "documents")
     st.add(docs.where("doc_id % 2 = 0"), {"text": T.ascii_words})
     st.add(docs.where("doc_id % 2 = 1"), {"text": T.ascii_words})
@@ -235,7 +233,7 @@ def _stored(s, d):
 
 @R.add("stored_index_updates", "select doc_id, case when doc_id % 10 = 3 then 'new text' else text end as text from documents where doc_id % 10 <> 7")
 def _updates(s, d):
-    st = store.IndexStore(s, tempfile.mkdtemp(prefix="index-"))
+    st = store.IndexStore(s, store.scratch_path(s, "index"))
     docs = table(s, d, "documents").select("doc_id", "text")
     st.add(docs, {"text": T.ascii_words})
     st.delete_where("doc_id % 10 = 7")

@@ -8,6 +8,7 @@ and term, so that a query's predicate skips most row groups.
 from __future__ import annotations
 
 import json
+import tempfile
 import uuid
 from collections.abc import Iterable
 from dataclasses import dataclass, field
@@ -19,6 +20,14 @@ from pyspark.sql import functions as F
 
 from ..operators.index import Analyzer, Index
 
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A fresh path in the shared folder that spark.checkpoint.dir names; a local one only where it is unset."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}" if base else tempfile.mkdtemp(prefix=f"{name}-")
+
+
 #: Field types of a schema and the Spark types that hold them.
 FIELD_TYPES = {"text": "string", "string": "string", "keyword": "string", "stored": "string", "int": "int", "long": "bigint", "float": "float", "double": "double", "binary": "binary", "inet": "binary", "date": "timestamp", "vector": "array<float>", "byte_vector": "array<tinyint>", "late_interaction": "array<array<float>>", "feature": "map<string,float>", "lat_lon": "struct<lat:double,lon:double>", "xy": "struct<x:float,y:float>", "shape": "string", "int_range": "struct<min:array<int>,max:array<int>>", "long_range": "struct<min:array<bigint>,max:array<bigint>>", "double_range": "struct<min:array<double>,max:array<double>>", "sorted_numeric": "array<bigint>", "sorted_set": "array<string>", "facet": "array<string>"}
 
