@@ -80,6 +80,55 @@ def pieces(batch: pa.RecordBatch, most: int = STEP_BYTES) -> Iterator[pa.RecordB
         yield batch.slice(at, rows)
 
 
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: Random numbers for each byte at each of 64 places.
+_RANDOM = np.random.default_rng(20240607).integers(0, 1 << 64, 64 * 256, dtype=np.uint64, endpoint=False)
+
+
+def word_hashes(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of all texts, and where each text's begin: text i has those from cuts[i] to cuts[i + 1].
+
+    Words are runs without ASCII white space. A word's hash is the sum of a random number for each
+    byte at its place (tabulation hashing), computed for all bytes at once.
+    """
+    texts = [t or b"" for t in texts]
+    sizes = np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts))
+    buf = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
+    inside = ~_SPACE[buf]
+    edge = np.flatnonzero(np.diff(np.concatenate([[False], inside]).view(np.int8)))
+    starts, n = edge[::2], edge[1::2] - edge[::2]
+    cuts = np.searchsorted(starts, np.concatenate([[0], np.cumsum(sizes)]))
+    if not len(starts):
+        return np.zeros(0, np.uint64), cuts
+    first = np.cumsum(n) - n
+    b = buf[inside]
+    place = np.arange(len(b), dtype=np.int64) - np.repeat(first, n)
+    each = _RANDOM[((place & 63) << 8) | b]
+    far = np.flatnonzero(place > 63)
+    if len(far):
+        each[far] *= (2 * (place[far] >> 6) + 1).astype(np.uint64)
+    return np.add.reduceat(each, first), cuts
+
+
+START, END = np.uint64(1), np.uint64(2)
+
+
+def sequences(texts: list[bytes | None], order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(s, start, n): the word hashes of all texts in a row, each text with order - 1 starts before and an end behind.
+
+    Text i has n[i] words and begins at start[i]; one without words isn't there.
+    """
+    h, cuts = word_hashes(texts)
+    n = np.diff(cuts)
+    size = np.where(n > 0, n + order, 0)
+    start = np.cumsum(size) - size
+    s = np.full(int(size.sum()), START)
+    s[np.arange(len(h)) - np.repeat(cuts[:-1], n) + np.repeat(start + order - 1, n)] = h
+    s[(start + size - 1)[n > 0]] = END
+    return s, start, n
+
+
 class WordHash(dict):
     """64-bit hashes of words (bytes), remembered while a batch of texts repeats them."""
 

@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import struct
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHash, binary, mix
+from .common import START, binary, mix, sequences
 
 ORDER = 3
 ALPHA = 0.4
@@ -33,34 +34,34 @@ BLOCK_BYTES = 12 << 20
 #: A shard of the count tables holds about so many bytes of corpus.
 SHARD_BYTES = 12 << 20
 
-START, END = np.uint64(1), np.uint64(2)
-
-
-def ngram_keys(text: bytes | None, words: WordHash, order: int = ORDER) -> list[np.ndarray]:
-    """For n = 1 to order, the hash of the n-gram that ends at each word (and at the end of the text); starts fill in before the first.
-
-    A text without words has none."""
-    own = text.split() if text else []
-    if not own:
-        return [np.zeros(0, np.uint64)] * order
-    s = np.concatenate([np.full(order - 1, START), words.of(own), [END]]).astype(np.uint64)
-    out, last = [], order - 1
-    h = np.zeros(len(s) - last, np.uint64)
-    for n in range(1, order + 1):  # from the last word backwards
-        h = mix(h * np.uint64(0x9E3779B97F4A7C15) + s[last - n + 1 : len(s) - n + 1] + np.uint64(n))
-        out.append(h)
-    return out
-
-
-def context_keys(text_keys: list[np.ndarray], order: int) -> list[np.ndarray]:
-    """For n = 2 to order, the hash of the (n - 1)-gram before each position."""
-    first = [np.uint64(0)] * (order - 1)
-    s = np.full(order - 1, START)
-    h = np.zeros(1, np.uint64)
-    for n in range(1, order):  # the starts alone
-        h = mix(h * np.uint64(0x9E3779B97F4A7C15) + s[:1] + np.uint64(n))
-        first[n - 1] = h[0]
-    return [np.concatenate([[first[n - 2]], text_keys[n - 2][:-1]]).astype(np.uint64) for n in range(2, order + 1)]
+@dataclass
+class Grams:
+    """The n-grams of several texts: keys[n - 1][first[i] : first[i] + words[i] + 1] are those of n words that end at text i's words and its end; before[n - 1] is that of n starts."""
+
+    keys: list[np.ndarray]
+    before: list[np.uint64]
+    first: np.ndarray
+    words: np.ndarray
+
+    @classmethod
+    def of(cls, texts: list[bytes | None], order: int) -> Grams:
+        s, start, n = sequences(texts, order)
+        last, c = order - 1, np.uint64(0x9E3779B97F4A7C15)
+        keys, before = [], []
+        h, b = np.zeros(max(0, len(s) - last), np.uint64), np.zeros(1, np.uint64)
+        for k in range(1, order + 1):  # from the last word backwards
+            h = mix(h * c + s[last - k + 1 : len(s) - k + 1] + np.uint64(k))
+            b = mix(b * c + START + np.uint64(k))
+            keys.append(h)
+            before.append(b[0])
+        return cls(keys, before, start, n)
+
+    def flat(self) -> np.ndarray:
+        """All n-grams of all texts, then the contexts of starts alone, once for each text with words. The n-grams between two texts are left out."""
+        size = np.where(self.words > 0, self.words + 1, 0)
+        at = np.repeat(self.first, size) + np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+        starts = [np.full(int((self.words > 0).sum()), b, np.uint64) for b in self.before[:-1]]
+        return np.concatenate([*(k[at] for k in self.keys), *starts])
 
 
 def pack(a: np.ndarray) -> bytes:
@@ -114,17 +115,6 @@ class Blocks:
         return (self.task << 24) + self.number
 
 
-def _distinct(texts: list[bytes | None], words: WordHash, order: int) -> tuple[np.ndarray, np.ndarray]:
-    """All n-grams of texts with their counts; of contexts, those of starts alone, too."""
-    parts: list[np.ndarray] = []
-    for t in texts:
-        keys = ngram_keys(t, words, order)
-        if len(keys[0]):
-            parts += keys
-            parts += [c[:1] for c in context_keys(keys, order)]
-    return np.unique(np.concatenate([*parts, np.zeros(0, np.uint64)]), return_counts=True)
-
-
 def score(docs: DataFrame, order: int = ORDER) -> DataFrame:
     """(doc_id, n_words, score, per_word): one row per document.
 
@@ -137,9 +127,8 @@ def score(docs: DataFrame, order: int = ORDER) -> DataFrame:
     shards = max(4, -(-size // SHARD_BYTES))
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordHash()
         for block, held in Blocks()(batches, 1):
-            h, c = _distinct([t for b in held for t in binary(b.column(1))], words, order)
+            h, c = np.unique(Grams.of([t for b in held for t in binary(b.column(1))], order).flat(), return_counts=True)
             cut = np.searchsorted(h, (np.arange(1, shards, dtype=object) * (1 << 64) // shards).astype(np.uint64)) if shards > 1 else np.zeros(0, int)
             edges = [0, *cut.tolist(), len(h)]
             rows = [(k, block, pack_sorted(h[a:b]), pack(c[a:b])) for k, (a, b) in enumerate(zip(edges, edges[1:], strict=False)) if b > a]
@@ -182,14 +171,14 @@ def score(docs: DataFrame, order: int = ORDER) -> DataFrame:
 
     def last(returned: pa.Table, own: pa.Table) -> pa.Table:
         """A block's counts from all shards and its texts."""
-        words = WordHash()
         table = pa.ipc.open_stream(own["texts"][0].as_buffer()).read_all()
-        raw = binary(table["text"].combine_chunks()) if table.num_rows else []
-        h, _ = _distinct(raw, words, order)
+        grams = Grams.of(binary(table["text"].combine_chunks()) if table.num_rows else [], order)
+        distinct, at = np.unique(grams.flat(), return_inverse=True)
         packed = returned.sort_by("shard")["counts"].to_pylist()
         c = np.concatenate([*map(unpack, packed), np.zeros(0, np.uint64)]).astype(np.int64)
-        assert len(c) == len(h), "the input was cut into other blocks when it was read again"
-        n, s = zip(*(_score_one(t, words, order, h, c, tokens) for t in raw), strict=True)
+        assert len(c) == len(distinct), "the input was cut into other blocks when it was read again"
+        n = grams.words.tolist()
+        s = score_texts(n, at, c, order, tokens)
         per = [x / (k + 1) if k else None for x, k in zip(s, n, strict=True)]
         return pa.table({"doc_id": table["doc_id"], "n_words": pa.array(n, pa.int64()), "score": pa.array(s, pa.float64()), "per_word": pa.array(per, pa.float64())})
 
@@ -200,24 +189,28 @@ def score(docs: DataFrame, order: int = ORDER) -> DataFrame:
     return back.groupBy("block").cogroup(whole.groupBy("block")).applyInArrow(last, "doc_id long, n_words long, score double, per_word double")
 
 
-def _score_one(text: bytes | None, words: WordHash, order: int, h: np.ndarray, c: np.ndarray, tokens: int) -> tuple[int, float | None]:
-    keys = ngram_keys(text, words, order)
-    size = len(keys[0])
-    if not size:
-        return 0, None
-    contexts = context_keys(keys, order)
-
-    def others(k: np.ndarray) -> np.ndarray:
-        """Counts of n-grams without this document's own."""
-        own, inverse, count = np.unique(k, return_inverse=True, return_counts=True)
-        return (c[np.searchsorted(h, own)] - count)[inverse]
-
-    n = max(1, tokens - (size - 1))
-    grams = [others(k) for k in keys]
-    low = np.log(np.maximum(grams[0], 1) / n)
-    for k in range(1, order):
-        # the context of an n-gram is the shorter n-gram before it, or the starts alone, which stand once in each text
-        before = np.concatenate([c[np.searchsorted(h, contexts[k - 1][:1])] - 1, grams[k - 1][:-1]])
-        with np.errstate(divide="ignore", invalid="ignore"):
-            low = np.where(grams[k] > 0, np.log(grams[k] / np.maximum(before, 1)), np.log(ALPHA) + low)
-    return size - 1, float(low.sum())
+def score_texts(words: list[int], at: np.ndarray, counts: np.ndarray, order: int, tokens: int) -> list[float | None]:
+    """The score of each text. at: for each n-gram of Grams.flat() its place in counts, the corpus's."""
+    texts = sum(w > 0 for w in words)
+    size = (len(at) - (order - 1) * texts) // order
+    grams = [at[k * size : (k + 1) * size] for k in range(order)]
+    starts = [int(counts[at[order * size + k * texts]]) - 1 if texts else 0 for k in range(order - 1)]
+    out: list[float | None] = []
+    lo = 0
+    for w in words:
+        if not w:
+            out.append(None)
+            continue
+        hi = lo + w + 1
+        others = []
+        for g in grams:  # without this text's own
+            own, inverse, n = np.unique(g[lo:hi], return_inverse=True, return_counts=True)
+            others.append((counts[own] - n)[inverse])
+        low = np.log(np.maximum(others[0], 1) / max(1, tokens - w))
+        for k in range(1, order):
+            # the context of an n-gram is the shorter one before it, or the starts alone, which stand once in each text
+            before = np.maximum(np.concatenate([[starts[k - 1]], others[k - 1][:-1]]), 1)
+            low = np.where(others[k] > 0, np.log(np.maximum(others[k], 1) / before), np.log(ALPHA) + low)
+        out.append(float(low.sum()))
+        lo = hi
+    return out
