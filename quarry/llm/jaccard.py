@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import HashTable, WordHash, binary, checkpointed, connected_components, ngram_hashes, pieces
+from .common import HashTable, binary, checkpointed, connected_components, ngram_hashes, pieces, word_hashes
 
 SHINGLE = 4
 #: Two sets link when 100 * intersection >= PERCENT * union.
@@ -39,9 +39,15 @@ BLOCK = 1500
 MAX_NEEDED = 2_000_000
 
 
-def shingles(text: bytes | None, words: WordHash, n: int = SHINGLE) -> np.ndarray:
-    """The sorted distinct hashes of n-word shingles; fewer words make one shingle, none an empty set."""
-    return np.unique(ngram_hashes(words.of(text.lower().split()), n)) if text else np.zeros(0, np.uint64)
+def shingle_sets(texts: list[bytes | None], n: int = SHINGLE) -> list[np.ndarray]:
+    """Each text's sorted distinct hashes of n-word shingles; fewer words make one shingle, none an empty set."""
+    h, cuts = word_hashes([t and t.lower() for t in texts])
+    grams = ngram_hashes(h, n)
+    out = []
+    for a, b in zip(cuts.tolist(), cuts[1:].tolist(), strict=False):
+        s = np.sort(grams[a : b - n + 1]) if b - a >= n else ngram_hashes(h[a:b], n)
+        out.append(s[np.concatenate([[True], s[1:] != s[:-1]])] if len(s) else s)
+    return out
 
 
 def set_id(tokens: np.ndarray) -> int | None:
@@ -49,10 +55,9 @@ def set_id(tokens: np.ndarray) -> int | None:
 
 
 def _sets(batches: Iterator[pa.RecordBatch], column: int, n: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
-    words = WordHash()
     for whole in batches:
         for batch in pieces(whole):
-            yield batch, [shingles(t, words, n) for t in binary(batch.column(column))]
+            yield batch, shingle_sets(binary(batch.column(column)), n)
 
 
 def members(docs: DataFrame, n: int = SHINGLE) -> DataFrame:
