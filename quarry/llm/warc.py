@@ -35,8 +35,6 @@ MIN_REVISIT = 1000
 DICTIONARY_BYTES = 64 << 10
 SAMPLE_ROWS = 400
 SAMPLE_ROW_BYTES = 64 << 10
-#: An archive holds about so many bytes of payload: archives are read whole.
-ARCHIVE_BYTES = 32 << 20
 #: What separates frames: an empty skippable frame.
 SEPARATOR = struct.pack("<II", SKIPPABLE_MAGIC, 0)
 
@@ -200,12 +198,8 @@ def write_archives(pages: DataFrame, path: str) -> None:
                     frames.append(maker.compress(encode_record(kind, r["url"], record_id, payload, r["digest"], r["refers_to"], own)))
                 yield pa.RecordBatch.from_arrays([pa.array(frames, pa.binary())], names=["frame"])
 
-    planned = plan_records(pages)
-    size = pages.agg(F.sum(F.octet_length("html"))).first()[0] or 0
-    files = -(-size // ARCHIVE_BYTES)
-    if files > planned.rdd.getNumPartitions():
-        planned = planned.repartition(files)
-    frames = planned.mapInArrow(run, "frame binary")
+    # A task writes an archive: as large as an input split, or a partition of the join's shuffle.
+    frames = plan_records(pages).mapInArrow(run, "frame binary")
     # The text sink writes a string's bytes as they are, and the separator after each.
     frames.select(F.col("frame").cast("string").alias("value")).write.option("lineSep", SEPARATOR.decode("latin-1")).text(path)
 
