@@ -8,7 +8,6 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -129,19 +128,6 @@ def sequences(texts: list[bytes | None], order: int) -> tuple[np.ndarray, np.nda
     return s, start, n
 
 
-class WordHash(dict):
-    """64-bit hashes of words (bytes), remembered while a batch of texts repeats them."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 1_000_000:
-            self.clear()
-        self[word] = h = xxhash.xxh64_intdigest(word)
-        return h
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
-
-
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit integers that spreads their bits (the finaliser of splitmix64)."""
     h = h.copy()

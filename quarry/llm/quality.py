@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import HashTable, WordHash, binary, checkpointed, map_columns, mix, pieces, unit_hash
+from .common import START, HashTable, binary, checkpointed, map_columns, mix, pieces, sequences, unit_hash
 
 #: The model is trained on about so many trusted documents, at most half of them, each no longer than TRAIN_CHARS.
 TRAIN_DOCS = 2000
@@ -33,7 +33,6 @@ MARGIN = 1.25
 #: A language with fewer trusted documents uses the quantile of all languages.
 MIN_TRUSTED = 30
 
-START, END = np.uint64(1), np.uint64(2)
 SCHEMA = "h3 long, h_uv long, h_vw long, h_v long, h_w long, starts boolean, c long"
 
 
@@ -44,12 +43,6 @@ def _hash(n: int, *words: np.ndarray) -> np.ndarray:
     return h
 
 
-def _sequence(text: bytes | None, words: WordHash) -> np.ndarray:
-    """Start, start, the hashes of the words, end."""
-    own = words.of(text.split()) if text else np.zeros(0, np.uint64)
-    return np.concatenate([[START, START], own, [END]]).astype(np.uint64)
-
-
 def _signed(h: np.ndarray) -> pa.Array:
     return pa.array(h.view(np.int64))
 
@@ -58,13 +51,15 @@ def trigram_counts(trusted: DataFrame) -> DataFrame:
     """Counts of the trigrams of text, with the hashes of the n-grams within: SCHEMA."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordHash()
         for whole in batches:
             for batch in pieces(whole):
-                s = [x for t in binary(batch.column(0)) if len(x := _sequence(t, words)) > 3]
-                if not s:
+                s, start, n = sequences(binary(batch.column(0)), 3)
+                if not len(s):
                     continue
-                u, v, w = (np.concatenate([x[k : len(x) - 2 + k] for x in s]) for k in range(3))
+                ends = np.ones(len(s), bool)  # where a trigram may end: not at the two starts of a text
+                ends[start[n > 0]] = ends[start[n > 0] + 1] = False
+                at = np.flatnonzero(ends)
+                u, v, w = s[at - 2], s[at - 1], s[at]
                 h3, first, c = np.unique(_hash(3, u, v, w), return_index=True, return_counts=True)
                 u, v, w = u[first], v[first], w[first]
                 yield pa.RecordBatch.from_arrays([_signed(h3), _signed(_hash(2, u, v)), _signed(_hash(2, v, w)), _signed(_hash(1, v)), _signed(_hash(1, w)), pa.array(v == START), pa.array(c.astype(np.int64))], names=["h3", "h_uv", "h_vw", "h_v", "h_w", "starts", "c"])
@@ -148,44 +143,44 @@ class Shards:
 _OPEN: dict[str, list[tuple[HashTable, np.ndarray]]] = {}
 
 
-def log_probabilities(texts: list[bytes | None], words: WordHash, shards: list[tuple[HashTable, np.ndarray]], unknown: float) -> tuple[np.ndarray, np.ndarray]:
-    """Of each text: its log-probability with its end, and its number of words."""
-    seqs = [_sequence(t, words) for t in texts]
-    sizes = np.array([len(s) for s in seqs], np.int64)
-    s = np.concatenate(seqs)
-    start = np.cumsum(sizes) - sizes
+def log_probabilities(texts: list[bytes | None], shards: list[tuple[HashTable, np.ndarray]], unknown: float) -> tuple[np.ndarray, np.ndarray]:
+    """Of each text: its log-probability with its end, and its number of words. Without words it is 0."""
+    s, start, sizes = sequences(texts, 3)
+    out = np.zeros(len(texts))
+    some = sizes > 0
+    if not some.any():
+        return out, sizes
+    begin = start[some]
     total = np.zeros(len(s))
     h1 = _hash(1, s)
     h2 = _hash(2, s[:-1], s[1:])
     h3 = _hash(3, s[:-2], s[1:-1], s[2:])
     for n, h in ((1, h1), (2, h2), (3, h3)):
         part = (h.view(np.int64) % len(shards)).astype(np.int8)
-        at = np.arange(len(h)) + n - 1
-        ok = np.ones(len(h), bool)
-        # an n-gram lies within one text; a text's first place is only a context
-        for k in range(n - 1):
-            ok[np.maximum(start - n + 1 + k, 0)[start - n + 1 + k >= 0]] = False
-        if n == 1:
-            ok[start] = False
+        at = np.arange(len(h)) + n - 1  # where the n-gram ends: within its text, and not at its first place, which is only a context
+        ok = np.ones(len(s), bool)
+        for k in range(max(1, n - 1)):
+            ok[begin + k] = False
+        ok = ok[at]
         for k, (table, x) in enumerate(shards):
             own = np.flatnonzero((part == k) & ok)
             total[at[own]] += x[table.find(h[own])]
-    out = np.add.reduceat(total, start)
-    return out + (sizes - 2) * unknown, sizes - 3
+    out[some] = np.add.reduceat(total, begin) + (sizes[some] + 1) * unknown
+    return out, sizes
 
 
 def score(docs: DataFrame, model: Shards | None, keep: list[str] | None = None) -> DataFrame:
     """docs with n_words and perplexity (null without words, or without a model)."""
 
     def make():
-        words, shards = WordHash(), model.opened() if model else []
+        shards = model.opened() if model else []
 
         def run(text: pa.Array) -> list[pa.Array]:
             raw = binary(text)
             if not model:
                 n = np.array([len(t.split()) if t else 0 for t in raw], np.int64)
                 return [pa.array(n), pa.nulls(len(raw), pa.float64())]
-            logp, n = log_probabilities(raw, words, shards, model.unknown)
+            logp, n = log_probabilities(raw, shards, model.unknown)
             return [pa.array(n), pa.array(np.exp(np.minimum(-logp / (n + 1), 700)), mask=n == 0)]
 
         return run
