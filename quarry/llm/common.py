@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 #: Texts handled by one vectorised step hold at most about so many bytes (a longer text is a step of its own).
-STEP_BYTES = 4 << 20
+STEP_BYTES = 1 << 20
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
@@ -46,11 +46,11 @@ def without(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in low])
 
 
-def map_columns(df: DataFrame, inputs: list[str], added: str, make: Callable[[], Callable], keep: list[str] | None = None) -> DataFrame:
+def map_columns(df: DataFrame, inputs: list[str], added: str, make: Callable[[], Callable], keep: list[str] | None = None, step: int = STEP_BYTES) -> DataFrame:
     """df (or its columns `keep`) with the columns `added` (DDL), computed from `inputs` by Arrow batch.
 
     `make()` is called once in each task and returns a function from the input arrays to a list
-    of result arrays. Batches are cut so that one step sees about STEP_BYTES at most.
+    of result arrays. Batches are cut so that one call sees about `step` bytes at most.
     """
     new = StructType.fromDDL(added)
     df = without(df, *new.names)
@@ -62,7 +62,7 @@ def map_columns(df: DataFrame, inputs: list[str], added: str, make: Callable[[],
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fn = make()
         for whole in batches:
-            for batch in pieces(whole):
+            for batch in pieces(whole, step):
                 out = fn(*batch.columns[nk:])
                 yield pa.RecordBatch.from_arrays([*batch.columns[:nk], *out], names=schema.names)
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import STEP_BYTES, binary, map_columns
+from .common import binary, map_columns
 
 #: Words in a window; an item of fewer words, but not none, is one window.
 WINDOW = 8
@@ -25,6 +25,8 @@ WINDOW = 8
 MIN_ITEMS = 2
 #: Benchmark text is held in blocks of about so many bytes; one block is in a worker's memory at a time.
 BLOCK_BYTES = 8 << 20
+#: A shard of documents, which gets a suffix array, has about so many bytes.
+SHARD_BYTES = 4 << 20
 #: Suffixes are sorted by so many words; longer matches are measured on the words themselves.
 DEPTH = 16
 
@@ -196,7 +198,7 @@ def annotate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_it
             for t in raw:
                 shard.append(words_of(t))
                 size += len(t or b"")
-                if size > STEP_BYTES:
+                if size > SHARD_BYTES:
                     flush()
                     size = 0
             flush()
@@ -205,7 +207,7 @@ def annotate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_it
 
         return run
 
-    return map_columns(docs, ["text"], "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean", make, keep)
+    return map_columns(docs, ["text"], "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean", make, keep, SHARD_BYTES)
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
