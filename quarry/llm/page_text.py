@@ -3,8 +3,10 @@
 All pages of a host are merged into one tree: a node is an element's place, that is the tags,
 classes and ids from the root down, with the layouts (sequences of child elements) and contents
 seen there and how often. A place where many pages show few layouts and few contents has low
-entropy and carries navigation or notices, not the article. Only the tree's counts are
-aggregated, by (host, place, value), so that a host that holds most pages is no large task.
+entropy and carries navigation or notices, not the article. Pages of a host with one main
+text count once, so that copies of an article don't make its places look like notices. Only the
+tree's counts are aggregated, by (host, text) and (host, place, value), so that a host that holds
+most pages is no large task.
 Places of low importance are then removed from each page, as are elements whose tag, role,
 class or id says what they are.
 """
@@ -34,7 +36,9 @@ CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"opti
 FENCES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "tbody": {"table"}, "tfoot": {"table"}, "option": {"select"}}
 #: Words in a class, id or role that name what stands around an article.
 NOISE = set("ad ads advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs byline comment comments commentlist consent contentinfo cookie cookies copyright disqus disclaimer foot footer form header masthead menu modal nav navbar navigation newsletter notice notices outbrain overlay pager pagination popup promo promoted promotion recommended related replies reply respond rail search share sharing sidebar sidebars signin signup skip social sponsor sponsored subscribe subscription taboola tags teaser toc toolbar topbar tracking widget widgets complementary dialog alert".split())
-#: A host's place is judged by its counts if so many pages show it ...
+#: Elements whose place is never removed by its counts alone, as are those that say that they are the article.
+WHOLE = {"html", "body", "article", "main"}
+#: A host's place is judged by its counts if so many pages of different texts show it ...
 MIN_PAGES = 6
 #: ... and removed with less importance than this.
 MIN_IMPORTANCE = 0.35
@@ -147,7 +151,7 @@ def blocks(root: Node, drop: set[int]) -> list[str]:
         elif x is root:
             pass
         elif kind == "start":
-            if skip or x.noise or (drop and place_id(x.place) in drop):
+            if skip or x.noise or (drop and x.tag not in WHOLE and not x.article and place_id(x.place) in drop):
                 skip += 1
             if x.tag in BLOCKS:
                 flush() if not skip or skip == 1 else None
@@ -219,25 +223,31 @@ def features(root: Node) -> dict[int, tuple[int, int]]:
 def style_tree(pages: DataFrame) -> DataFrame:
     """(host, place, pages, layout_entropy, content_entropy, importance) of each host's merged tree.
 
-    Entropies are to base m, the number of pages that show the place: 0 if all are alike, 1 if
-    none are. A place's importance is the larger of both, and 1 if only one page shows it.
+    Pages of a host with one main text count as one, that with the least features. Entropies are
+    to base m, the number of such pages that show the place: 0 if all are alike, 1 if none are.
+    A place's importance is the larger of both, and 1 if only one page shows it.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in pieces(whole):
-                host, place, kind, value = [], [], [], []
+                host, same, place, layout, content = [], [], [], [], []
                 for u, h in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    own = host_of(u)
-                    for p, both in features(parse(h)).items() if h else ():
-                        for k in (0, 1):
-                            host.append(own)
-                            place.append(p)
-                            kind.append(k)
-                            value.append(both[k])
-                yield pa.RecordBatch.from_arrays([pa.array(host, pa.string()), pa.array(place, pa.int64()), pa.array(kind, pa.int32()), pa.array(value, pa.int64())], names=["host", "place", "kind", "value"])
-
-    seen = pages.select(F.col("url").cast("string"), F.col("html").cast("string")).mapInArrow(run, "host string, place long, kind int, value long")
+                    root = parse(h) if h else None
+                    found = features(root) if root else None
+                    if found:
+                        host.append(host_of(u))
+                        same.append(place_id(text_of(root)))
+                        place.append(list(found))
+                        layout.append([x for x, _ in found.values()])
+                        content.append([x for _, x in found.values()])
+                longs = pa.list_(pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(host, pa.string()), pa.array(same, pa.int64()), pa.array(place, longs), pa.array(layout, longs), pa.array(content, longs)], names=["host", "same", "place", "layout", "content"])
+
+    shown = pages.select(F.col("url").cast("string"), F.col("html").cast("string")).mapInArrow(run, "host string, same long, place array<long>, layout array<long>, content array<long>")
+    once = shown.groupBy("host", "same").agg(F.min(F.struct("place", "layout", "content")).alias("x"))
+    each = once.select("host", F.explode(F.arrays_zip("x.place", "x.layout", "x.content")).alias("x"))
+    seen = each.select("host", F.col("x.place").alias("place"), F.posexplode(F.array("x.layout", "x.content")).alias("kind", "value"))
     values = seen.groupBy("host", "place", "kind", "value").agg(F.count("*").alias("c"))
     kinds = values.groupBy("host", "place", "kind").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.log(F.col("c").cast("double"))).alias("s"))
     h = F.when(F.col("m") > 1, 1 - F.col("s") / (F.col("m") * F.log(F.col("m").cast("double")))).otherwise(1.0)
@@ -249,7 +259,7 @@ def extract(pages: DataFrame, min_pages: int = MIN_PAGES, min_importance: float
     """(page_id, url, text, n_chars): one row per page, whole and in page order.
 
     A null or empty page has an empty text. A null URL belongs to the host without a name.
-    Repeated rows stay; a page whose host shows fewer than `min_pages` pages is judged by its elements alone.
+    Repeated rows stay; a page whose host shows fewer than `min_pages` pages of different texts is judged by its elements alone.
     """
     tree = style_tree(pages).where((F.col("pages") >= min_pages) & (F.col("importance") < min_importance))
     # A host's removed places are few, and one row for each host; the join's side is measured at run time.
@@ -269,9 +279,10 @@ def extract(pages: DataFrame, min_pages: int = MIN_PAGES, min_importance: float
 
 def main_text(page: str | None, drop: set[int] = frozenset()) -> str:
     """A page's main text, without the places in `drop`."""
-    if not page:
-        return ""
-    root = parse(page)
+    return text_of(parse(page), drop) if page else ""
+
+
+def text_of(root: Node, drop: set[int] = frozenset()) -> str:
     found = main_root(root)
     if found != [root]:
         # Inside an article only what is marked as noise or shown alike on the host's pages is removed.

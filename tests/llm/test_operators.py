@@ -539,6 +539,24 @@ def test_style_tree_removes_what_a_site_repeats(spark):
     assert page_text.extract(df.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("groups", [[6], [5, 1], [75, *[1] * 25], [20] * 5, [20] * 8])
+@pytest.mark.parametrize("wrap", ["article", "div"])
+def test_copies_keep_their_text(spark, groups, wrap):
+    page = lambda g: f'<html><body><{wrap} class="x"><p>Story number {g} tells of {g * 7}.</p></{wrap}><div class="end">All rights reserved</div></body></html>'
+    pages = [(1000 * g + i, f"http://site.org/{g}/{i}", page(g)) for g, n in enumerate(groups) for i in range(n)]
+    got = page_text.extract(spark.createDataFrame(pages, "page_id long, url string, html string").repartition(4)).collect()
+    assert len(got) == len(pages)
+    # in a div, what isn't named as an article's surroundings goes by counts, of six different pages at least
+    end = "\nAll rights reserved" if wrap == "div" and len(groups) < page_text.MIN_PAGES else ""
+    assert all(r["text"] == f"Story number {r['page_id'] // 1000} tells of {r['page_id'] // 1000 * 7}.{end}" for r in got)
+
+
+def test_whole_elements_stay():
+    root = page_text.parse('<html><body><div role="main"><p>a</p></div><main><article><p>b</p></article></main></body></html>')
+    places = {page_text.place_id(x.place) for kind, x in page_text.walk(root) if kind == "start" and x.tag != "p"}
+    assert "\n".join(page_text.blocks(root, places)) == "a\nb"
+
+
 # --- 10 scores -----------------------------------------------------------------------------------------------------
 
 
