@@ -315,9 +315,9 @@ def components(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -> Dat
     return own.join(by_set, "set_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def keep_one(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """The documents, with their own columns, one of each component: that with the smallest id. Rows with a null id stay if nothing names their component."""
-    found = components(docs)
+    found = components(docs, n, percent)
     kept = found.where("doc_id = component_id").select("doc_id").distinct()
     whole = docs.join(kept, docs["doc_id"] == kept["doc_id"], "left_semi").dropDuplicates(["doc_id"])
     return whole.union(docs.where("doc_id is null"))

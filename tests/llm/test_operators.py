@@ -13,6 +13,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from quarry.llm import common, decontaminate, jaccard, language_id, lm_score, mixing, page_text, quality, topk, toxicity, warc
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -261,6 +262,16 @@ def test_jaccard_against_brute_force(spark, empty):
     assert kept.columns == df.columns and sorted(ids) == sorted({int(c) for i, _, c in got if i == c and i != "None"})
 
 
+def test_stage_links_five_words_at_80_percent(spark):
+    words = [f"w{i}" for i in range(204)]
+    texts = [" ".join(words), " ".join(words + [f"new{i}" for i in range(44)]), " ".join(words + [f"far{i}" for i in range(60)])]
+    # of sets of 200, 244 and 260 shingles of five words: 200 / 244 = 0.82 is linked, 200 / 260 = 0.77 isn't
+    df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], DOCS)
+    stage = dict(corpus_pipeline.STAGES)["ngram_jaccard"]
+    assert sorted(r["doc_id"] for r in stage(spark, df, "").collect()) == [0, 2]
+    assert sorted(r["doc_id"] for r in jaccard.keep_one(df).collect()) == [0, 1, 2]
+
+
 def test_jaccard_blocks(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "BLOCK", 3)
     monkeypatch.setattr(jaccard, "FREQUENT", 2)
