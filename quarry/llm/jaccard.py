@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import HashTable, binary, checkpointed, connected_components, ngram_hashes, pieces, word_hashes
+from .common import HashTable, binary, checkpointed, connected_components, map_columns, ngram_hashes, pieces, word_hashes
 
 SHINGLE = 4
 #: Two sets link when 100 * intersection >= PERCENT * union.
@@ -298,6 +298,13 @@ def links(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -> DataFram
     return together.mapInArrow(run, "a long, b long")
 
 
+def _rooted(own: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """(set_id, least, root): each set's smallest doc_id, and the set that names the component."""
+    roots = connected_components(links(docs, n, percent))
+    classes = own.where("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("least"))
+    return classes.join(roots, F.col("set_id") == F.col("node"), "left").select("set_id", "least", F.coalesce("root", "set_id").alias("root"))
+
+
 def components(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id): one row per row of docs.
 
@@ -307,18 +314,28 @@ def components(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -> Dat
     hashes of their 64-bit shingle hashes.
     """
     own = checkpointed(members(docs, n))
-    roots = connected_components(links(docs, n, percent))
-    classes = own.where("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("least"))
-    rooted = classes.join(roots, F.col("set_id") == F.col("node"), "left").select("set_id", "least", F.coalesce("root", "set_id").alias("root"))
+    rooted = _rooted(own, docs, n, percent)
     named = rooted.groupBy("root").agg(F.min("least").alias("component"))
     by_set = rooted.where(F.col("root").isNotNull()).join(named, "root").select("set_id", "component")
     return own.join(by_set, "set_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """The documents, with their own columns, one of each component: that with the smallest id. Rows with a null id stay if nothing names their component."""
-    found = components(docs, n, percent)
-    kept = found.where("doc_id = component_id").select("doc_id").distinct()
-    whole = docs.join(kept, docs["doc_id"] == kept["doc_id"], "left_semi").dropDuplicates(["doc_id"])
-    return whole.union(docs.where("doc_id is null"))
+    """The documents, with their own columns, one row of each component: that with the smallest (doc_id, set), null ids last.
 
+    Rows without words are linked with nothing: one stays for each id, and all whose id is null.
+    """
+    rooted = _rooted(members(docs, n), docs, n, percent)
+    first = rooted.groupBy("root").agg(F.min(F.struct(F.col("least").isNull().alias("none"), "least", "set_id")).alias("x")).select("x.set_id", "x.least")
+    words = F.coalesce(F.col("text").cast("string").rlike(r"[^\x09-\x0D ]"), F.lit(False))
+    own = "near_set"
+    while own in map(str.lower, docs.columns):
+        own += "_"
+    marked = map_columns(docs.where(words), ["text"], f"{own} long", lambda: lambda texts: [pa.array([set_id(s) for s in shingle_sets(binary(texts), n)], pa.int64())])
+    # The join and the choice of one of several equal rows deal by the same keys: texts are shuffled once.
+    doc_id = F.col("doc_id").cast("long")
+    marked = marked.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(own).alias("set_id"), F.coalesce(doc_id, F.lit(0)).alias("id"), doc_id.isNull().alias("none"))
+    keys = ["set_id", "id", "none"]
+    chosen = marked.join(first.select("set_id", F.coalesce("least", F.lit(0)).alias("id"), F.col("least").isNull().alias("none")), keys, "left_semi").dropDuplicates(keys)
+    bare = docs.where(~words)
+    return chosen.select("row.*").union(bare.where("doc_id is not null").dropDuplicates(["doc_id"])).union(bare.where("doc_id is null"))

@@ -272,6 +272,16 @@ def test_stage_links_five_words_at_80_percent(spark):
     assert sorted(r["doc_id"] for r in jaccard.keep_one(df).collect()) == [0, 1, 2]
 
 
+def test_keep_one_keeps_rows_not_ids(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(100)) for x in "abc")
+    rows = [(3, a), (5, a + " more"), (5, b), (None, b + " more"), (None, c), (None, c), (7, None), (7, None), (None, " "), (None, None)]
+    df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], DOCS).withColumn("set_id", F.lit("own"))
+    for parts in (1, 3, 7):
+        got = jaccard.keep_one(df.repartition(parts))
+        assert got.columns == df.columns and {r["set_id"] for r in got.collect()} == {"own"}
+        assert sorted((str(r["doc_id"]), str(r["text"])) for r in got.collect()) == sorted((str(i), str(t)) for i, t in [(3, a), (5, b), (None, c), (7, None), (None, " "), (None, None)])
+
+
 def test_jaccard_blocks(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "BLOCK", 3)
     monkeypatch.setattr(jaccard, "FREQUENT", 2)
