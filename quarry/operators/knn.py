@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -40,11 +41,28 @@ def diversified(children: DataFrame, vector: str, query: Sequence[float], k: int
 
 
 def approximate(docs: DataFrame, vector: str, query: Sequence[float], k: int, planes: int = 8, probes: int = 2, key: str = "doc_id", function: str = V.COSINE) -> DataFrame:
-    """The k best among documents whose signature differs from the query's in at most `probes` bits: fewer are scored, some may be missed."""
+    """The k best: first among documents whose signature differs from the query's in at most `probes` bits, then among the others that can still reach the k-th score found there.
+
+    A vector on the other side of a plane is at least as far from the query, by angle, as the plane
+    is; so a cosine has a bound by the bits that differ, and no document is missed. Other functions
+    have no such bound: all documents are scored.
+    """
+    docs = docs.where(F.col(vector).isNotNull())
+    length = math.sqrt(sum(x * x for x in query))
+    if function != V.COSINE or not length:
+        return knn(docs, vector, query, k, function, key)
     p = V.hyperplanes(len(query), planes)
-    own = sum((1 << i) for i, plane in enumerate(p) if sum(a * b for a, b in zip(plane, query, strict=True)) >= 0)
-    near = docs.where(F.bit_count(V.signature(F.col(vector), p).bitwiseXOR(F.lit(own).cast("long"))) <= probes)
-    return knn(near, vector, query, k, function, key)
+    at = [sum(a * b for a, b in zip(plane, query, strict=True)) for plane in p]
+    own = sum((1 << i) for i, x in enumerate(at) if x >= 0)
+    differ = V.signature(F.col(vector), p).bitwiseXOR(F.lit(own).cast("long"))
+    sines = [abs(x) / length / math.sqrt(sum(c * c for c in plane)) for x, plane in zip(at, p, strict=True)]
+    sine = F.greatest(F.lit(0.0), *[F.when(differ.bitwiseAND(F.lit(1 << i).cast("long")) != 0, F.lit(x)) for i, x in enumerate(sines)])
+    marked = docs.withColumn("_differ", F.bit_count(differ)).withColumn("_most", (1 + F.sqrt(F.greatest(F.lit(0.0), 1 - sine * sine))) / 2 + 1e-9)
+    near = knn(marked.where(F.col("_differ") <= probes), vector, query, k, function, key)
+    # One row: the k-th score, or null if fewer were near, or if one of them has no score.
+    kth = near.agg(F.when(F.count("score") == k, F.min("score")).alias("_kth"))
+    rest = marked.where(F.col("_differ") > probes).join(F.broadcast(kth)).where("_kth is null or _most >= _kth")
+    return top(near.union(scores(rest, vector, query, function, key)), k)
 
 
 #: Graph searches give the same result as exact search, only sooner; here they are the same plan.

@@ -10,7 +10,7 @@ from quarry.functions import analysis as A
 from quarry.functions import normalizers, phonetic, strings
 from quarry.functions.analyzers import NAMES, analyzer
 from quarry.functions.stemmers import porter
-from quarry.operators import highlight, intervals, monitor, parsers, spans
+from quarry.operators import highlight, intervals, knn, monitor, parsers, spans
 from quarry.operators import query as Q
 
 
@@ -151,3 +151,15 @@ def test_analyzed_fields_search(spark):
     i = Index(docs, {"text": analyzer("english")})
     assert {r["doc_id"] for r in Q.Term("text", "fox").hits(i).collect()} == {1, 2}
     assert {r["doc_id"] for r in spans.Phrase("text", ("fox", "run")).hits(i).collect()} == {2}
+
+
+def test_approximate_knn_misses_nothing(spark):
+    r = random.Random(5)
+    rows = [(i, [r.gauss(0, 1) for _ in range(16)]) for i in range(600)] + [(1000, None), (1001, [0.0] * 16)]
+    docs = spark.createDataFrame(rows, "doc_id long, v array<double>").repartition(3).cache()
+    for q in (7, 100, 333):
+        for planes, probes, k in ((6, 3, 10), (8, 0, 10), (4, 0, 100)):
+            exact = [x["doc_id"] for x in knn.knn(docs, "v", rows[q][1], k, "cosine").collect()]
+            got = [x["doc_id"] for x in knn.approximate(docs, "v", rows[q][1], k, planes, probes).collect()]
+            assert got == exact
+    assert knn.approximate(docs, "v", rows[7][1], 700, 6, 3).count() == knn.knn(docs, "v", rows[7][1], 700, "cosine").count()
