@@ -31,3 +31,13 @@ def test_shape_relation_of_every_part(spark):
     want = {k: relation(size, k % 50) for k, size in sql("select p_partkey, p_size from part")}
     assert got == want and set(want.values()) == {"within", "intersects", "disjoint"}
     assert sorted(got.items()) == sorted(sql(catalog.ORACLES["geo_shape_relation_all"]))
+
+
+@pytest.mark.parametrize("name, every", [("join_multi_valued_all", "select distinct l_partkey from lineitem"), ("sort_doc_order_all", "select p_partkey from part order by 1"), ("doc_and_score_all", "select doc_id from documents")])
+def test_every_row_is_read(spark, name, every):
+    got = [tuple(r) for r in catalog.QUERIES[name](spark, DATA).collect()]
+    want = [r[0] for r in sql(every)]
+    assert sorted(r[0] for r in got) == sorted(want)
+    assert sorted(got) == sorted(sql(catalog.ORACLES[name]))
+    if name == "sort_doc_order_all":
+        assert [r[0] for r in got] == want
