@@ -43,6 +43,8 @@ MIN_PAGES = 6
 #: ... and removed with less importance than this.
 MIN_IMPORTANCE = 0.35
 
+#: Of the hashes of runs of texts.
+PRIME, BASE = (1 << 61) - 1, 1_400_305_337_884_129_657
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([A-Za-z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>?", re.S)
 ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 NAMES = re.compile(r"[a-z]+")
@@ -63,7 +65,8 @@ class Node:
             style = a.get("style", "").replace(" ", "").lower()
             self.noise = self.noise or (tag not in ("html", "body", "main") and bool(words & NOISE)) or "hidden" in a or a.get("aria-hidden") == "true" or "display:none" in style or "visibility:hidden" in style
             self.article = self.article or a.get("role") == "main" or a.get("itemprop") == "articleBody"
-        self.place = f"{up.place}/{tag}{named}" if up else tag + named
+        # a running hash, so that a place costs the same at any depth
+        self.place = place_id(f"{up.place}/{tag}{named}" if up else tag + named)
 
 
 def parse(page: str) -> Node:
@@ -151,7 +154,7 @@ def blocks(root: Node, drop: set[int]) -> list[str]:
         elif x is root:
             pass
         elif kind == "start":
-            if skip or x.noise or (drop and x.tag not in WHOLE and not x.article and place_id(x.place) in drop):
+            if skip or x.noise or (drop and x.tag not in WHOLE and not x.article and x.place in drop):
                 skip += 1
             if x.tag in BLOCKS:
                 flush() if not skip or skip == 1 else None
@@ -195,29 +198,30 @@ def host_of(url: str | None) -> str:
 
 def features(root: Node) -> dict[int, tuple[int, int]]:
     """For each place of a page: hashes of the layout and of the text below it, all of its elements taken together."""
-    layout: dict[str, list[str]] = {}
-    text: dict[str, list[str]] = {}
-    open_: list[str] = []
+    layout: dict[int, list[str]] = {}
+    text: dict[int, tuple[int, int]] = {}
+    # Hashes of the first k texts and powers of the base: an element's texts are a range, whose hash follows from its ends at any depth.
+    upto, power = [0], [1]
+    open_: list[tuple[int, int]] = []
     for kind, x in walk(root):
         if kind == "text":
             s = x.strip()
             if s:
-                for p in open_:
-                    text[p].append(s)
+                upto.append((upto[-1] * BASE + xxhash.xxh64_intdigest(s)) % PRIME)
+                power.append(power[-1] * BASE % PRIME)
         elif x is root:
             pass
         elif kind == "start":
             if open_:
-                layout[open_[-1]].append(x.tag)
-            if len(open_) < 64:
-                open_.append(x.place)
-                layout.setdefault(x.place, [])
-                text.setdefault(x.place, [])
-            else:
-                open_.append(open_[-1])
+                layout[open_[-1][0]].append(x.tag)
+            open_.append((x.place, len(upto) - 1))
+            layout.setdefault(x.place, [])
         else:
-            open_.pop()
-    return {place_id(p): (xxhash.xxh64_intdigest(" ".join(layout[p])) - (1 << 63), xxhash.xxh64_intdigest(" ".join(text[p])) - (1 << 63)) for p in layout if text[p]}
+            p, start = open_.pop()
+            n = len(upto) - 1 - start
+            own, before = (upto[-1] - upto[start] * power[n]) % PRIME, text.get(p, (0, 0))
+            text[p] = ((before[0] * power[n] + own) % PRIME, before[1] + n)
+    return {p: (place_id(" ".join(tags)), place_id(f"{text[p][0]} {text[p][1]}")) for p, tags in layout.items() if text[p][1]}
 
 
 def style_tree(pages: DataFrame) -> DataFrame:

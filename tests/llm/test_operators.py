@@ -574,10 +574,19 @@ def test_copies_keep_their_text(spark, groups, wrap):
 
 def test_whole_elements_stay():
     root = page_text.parse('<html><body><div role="main"><p>a</p></div><main><article><p>b</p></article></main></body></html>')
-    places = {page_text.place_id(x.place) for kind, x in page_text.walk(root) if kind == "start" and x.tag != "p"}
+    places = {x.place for kind, x in page_text.walk(root) if kind == "start" and x.tag != "p"}
     assert "\n".join(page_text.blocks(root, places)) == "a\nb"
 
 
+def test_style_tree_has_every_level(spark):
+    assert len(page_text.features(page_text.parse("<div>" * 20_000 + "deep"))) == 20_000
+    one, two = (page_text.features(page_text.parse(f"<div><p>a</p><p>{x}</p><b>c</b></div>")) for x in "bx")
+    assert [one[p] == two[p] for p in one] == [False, False, True]
+    pages = [(i, f"http://site.org/{i}", "<div>" * 80 + f"<p>Story number {i}</p><b><u>All rights reserved</u></b>") for i in range(12)]
+    got = page_text.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
+    assert all(r["text"] == f"Story number {r['page_id']}" for r in got)
+
+
 # --- 10 scores -----------------------------------------------------------------------------------------------------
 
 
