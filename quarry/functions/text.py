@@ -8,17 +8,17 @@ from pyspark.sql import functions as F
 
 def ascii_words(text: Column) -> Column:
     """Lower-cased runs of ASCII letters and digits."""
-    return F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda t: t != "")
+    return F.array_remove(F.split(F.lower(text), "[^a-z0-9]+"), "")
 
 
 def whitespace(text: Column) -> Column:
     """Runs without white space, as they are."""
-    return F.filter(F.split(text, r"\s+"), lambda t: t != "")
+    return F.array_remove(F.split(text, r"\s+"), "")
 
 
 def letters(text: Column) -> Column:
     """Lower-cased runs of letters."""
-    return F.filter(F.split(F.lower(text), r"\P{L}+"), lambda t: t != "")
+    return F.array_remove(F.split(F.lower(text), r"\P{L}+"), "")
 
 
 def keyword(text: Column) -> Column:

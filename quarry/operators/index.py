@@ -13,16 +13,18 @@ from ..functions import similarity as sim
 from ..functions import text as text_functions
 
 Analyzer = Callable[[Column], Column]
+#: Statistics of up to so many terms, a short row for each, are broadcast.
+MAX_BROADCAST_TERMS = 10_000
 
 
 @dataclass
 class Index:
     """Documents with text fields, each with an analyzer that turns a Column into an array of terms, or of (term, pos) structs.
 
-    Nothing is computed at construction. A query reads only the postings of its own terms: the
-    tokens are filtered by term before they are grouped, so that what is shuffled is matches.
-    `stored` postings, (field, term, doc_id, tf, positions), and lengths, (field, doc_id, dl), are
-    read instead if given: see sources.store.
+    Nothing is computed at construction. A query's tokens are filtered by term where they are read,
+    so that only matches are shuffled. Where all postings are wanted the documents are dealt out by
+    key first, and a document's tokens are grouped where they are. `stored` postings, (field, term, doc_id, dl, tf,
+    positions), and lengths, (field, doc_id, dl), are read instead if given: see sources.store.
     """
 
     docs: DataFrame
@@ -39,34 +41,44 @@ class Index:
         fn = text_functions.COLUMN_ANALYZERS[analyzer] if isinstance(analyzer, str) else analyzer
         return cls(docs, {n: fn for n in names}, **options)
 
+    def _analysed(self, name: str, dealt: bool = False) -> DataFrame:
+        """(doc_id, _t): the documents' tokens, dealt out by doc_id if asked for."""
+        rows = self.docs.select(F.col(self.key).alias("doc_id"), F.col(name).alias("_x"))
+        return (rows.repartition("doc_id") if dealt else rows).select("doc_id", self.fields[name](F.col("_x")).alias("_t"))
+
+    def _exploded(self, name: str, dealt: bool = False) -> DataFrame:
+        """(doc_id, dl, pos, term). An outer explode: an inner one has its array computed once more by a filter that Spark infers."""
+        out = self._analysed(name, dealt).select("doc_id", F.size("_t").alias("dl"), F.posexplode_outer("_t").alias("pos", "term"))
+        if isinstance(out.schema["term"].dataType, StructType):
+            out = out.select("doc_id", "dl", F.col("term.pos").alias("pos"), F.col("term.term").alias("term"))
+        return out.where("term is not null")
+
     def tokens(self, name: str) -> DataFrame:
         """(doc_id, pos, term) of a field."""
-        arrays = self.docs.select(F.col(self.key), self.fields[name](F.col(name)).alias("_t"))
-        exploded = arrays.select(F.col(self.key).alias("doc_id"), F.posexplode("_t").alias("pos", "term"))
-        if not isinstance(exploded.schema["term"].dataType, StructType):
-            return exploded
-        return exploded.select("doc_id", F.col("term.pos").alias("pos"), F.col("term.term").alias("term"))
+        return self._exploded(name).select("doc_id", "pos", "term")
 
     def terms(self, name: str) -> DataFrame:
         """(term, df, ttf) of a field."""
+        rows = self.stored.where(F.col("field") == name) if self.stored is not None else self._exploded(name, True).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
+        return rows.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("ttf"))
+
+    def _postings(self, name: str, where: Column | None) -> DataFrame:
+        """(doc_id, term, dl, tf, positions)."""
         if self.stored is not None:
-            return self.stored.where(F.col("field") == name).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("ttf"))
-        return self.tokens(name).groupBy("term", "doc_id").agg(F.count("*").alias("tf")).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("ttf"))
+            out = self.stored.where(F.col("field") == name)
+            return (out if where is None else out.where(where)).select("doc_id", "term", "dl", "tf", "positions")
+        out = self._exploded(name, True) if where is None else self._exploded(name).where(where)
+        return out.groupBy("doc_id", "term", "dl").agg(F.count("*").alias("tf"), F.array_sort(F.collect_list("pos")).alias("positions"))
 
     def postings(self, name: str, where: Column | None = None) -> DataFrame:
         """(doc_id, term, tf, positions) of the terms that `where`, a predicate on the column term, accepts."""
-        if self.stored is not None:
-            out = self.stored.where(F.col("field") == name)
-            return (out if where is None else out.where(where)).select("doc_id", "term", "tf", "positions")
-        out = self.tokens(name)
-        out = out if where is None else out.where(where)
-        return out.groupBy("doc_id", "term").agg(F.count("*").alias("tf"), F.array_sort(F.collect_list("pos")).alias("positions"))
+        return self._postings(name, where).select("doc_id", "term", "tf", "positions")
 
     def lengths(self, name: str) -> DataFrame:
         """(doc_id, dl) of documents with tokens in a field."""
         if self.stored_lengths is not None:
             return self.stored_lengths.where(F.col("field") == name).select("doc_id", "dl")
-        return self.docs.select(F.col(self.key).alias("doc_id"), F.size(self.fields[name](F.col(name))).alias("dl")).where("dl > 0")
+        return self._analysed(name).select("doc_id", F.size("_t").alias("dl")).where("dl > 0")
 
     def stats(self, name: str) -> tuple[int, int]:
         """How many documents have the field, and how many tokens they hold: one scan, remembered."""
@@ -78,12 +90,20 @@ class Index:
     def ids(self) -> DataFrame:
         return self.docs.select(F.col(self.key).alias("doc_id"))
 
-    def scored(self, name: str, where: Column, boosts: Column | None = None, similarity: sim.Similarity | None = None) -> DataFrame:
-        """(doc_id, term, tf, score): each matching posting with its score."""
-        hits = self.postings(name, where).select("doc_id", "term", "tf")
+    def scored(self, name: str, where: Column, boosts: Column | None = None, similarity: sim.Similarity | None = None, most_terms: int | None = None) -> DataFrame:
+        """(doc_id, term, tf, score): each matching posting with its score.
+
+        most_terms: `where` accepts no more terms than this, so that their statistics, a row for
+        each, may be broadcast whatever the size of the corpus.
+        """
+        if self.stored is not None:
+            hits = self._postings(name, where).select("doc_id", "term", "dl", "tf")
+        else:
+            hits = self._exploded(name).where(where).groupBy("doc_id", "term", "dl").agg(F.count("*").alias("tf"))
         stats = hits.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("ttf"))
+        if most_terms is not None and most_terms <= MAX_BROADCAST_TERMS:
+            stats = F.broadcast(stats)
         n, total = self.stats(name)
         fn = similarity or sim.of_field(self.similarity, name)
-        joined = hits.join(stats, "term").join(self.lengths(name), "doc_id")
         s = sim.Stats(F.col("tf"), F.col("dl"), F.col("df"), F.col("ttf"), n, total, 1.0 if boosts is None else boosts)
-        return joined.select("doc_id", "term", "tf", fn(s).alias("score"))
+        return hits.join(stats, "term").select("doc_id", "term", "tf", fn(s).alias("score"))

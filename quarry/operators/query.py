@@ -83,7 +83,7 @@ class Term(Query):
     term: str
 
     def hits(self, index: Index) -> DataFrame:
-        return index.scored(self.field, F.col("term") == self.term).select("doc_id", "score")
+        return index.scored(self.field, F.col("term") == self.term, most_terms=1).select("doc_id", "score")
 
     def own_terms(self) -> set[tuple[str, str]]:
         return {(self.field, self.term)}
@@ -138,7 +138,7 @@ class Boolean(Query):
                 h = q.hits(index)
                 parts.append(h.select("doc_id", (F.col("score") if o in (MUST, SHOULD) else F.lit(0.0)).alias("score"), *_flags(F.lit(o in (MUST, FILTER)).cast("int"), F.lit(o == SHOULD).cast("int"), F.lit(o == MUST_NOT).cast("int"))))
         for name, terms in by_field.items():
-            rows = index.scored(name, F.col("term").isin(*terms))
+            rows = index.scored(name, F.col("term").isin(*terms), most_terms=len(terms))
 
             def times(*occurs: str, terms: dict[str, list[str]] = terms) -> Column:
                 out = F.lit(0)
@@ -240,7 +240,7 @@ class MultiTerm(Query):
         if not chosen:
             return empty(index)
         boost = F.element_at(F.create_map(*[F.lit(x) for kv in chosen.items() for x in kv]), F.col("term"))
-        return index.scored(self.field, F.col("term").isin(*chosen), boost).groupBy("doc_id").agg(F.sum("score").alias("score"))
+        return index.scored(self.field, F.col("term").isin(*chosen), boost, most_terms=len(chosen)).groupBy("doc_id").agg(F.sum("score").alias("score"))
 
 
 @dataclass(frozen=True)

@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import ascii_words
 from ..operators.index import Index
+from ..sources.store import stored_index
 
 #: Tokens of documents: lower-cased runs of ASCII letters and digits with positions.
 TOK = """
@@ -44,7 +46,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> Index:
-    return Index.of(table(spark, sf_dir, "documents"), "text")
+    """The documents' index: its postings are stored by the session's first query."""
+    return stored_index(spark, f"{sf_dir}/documents.parquet", {"text": ascii_words})
 
 
 def rounded(hits: DataFrame, digits: int = 6) -> DataFrame:

@@ -8,9 +8,11 @@ and term, so that a query's predicate skips most row groups.
 from __future__ import annotations
 
 import json
+import re
 import tempfile
+import time
 import uuid
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -23,9 +25,13 @@ from ..operators.index import Analyzer, Index
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder that spark.checkpoint.dir names; a local one only where it is unset."""
+    """A fresh path in the shared folder that spark.checkpoint.dir names; a temporary one only where it is unset and there is but one machine."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}" if base else tempfile.mkdtemp(prefix=f"{name}-")
+    if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("on a cluster spark.checkpoint.dir has to name a shared folder")
+        base = tempfile.mkdtemp(prefix="quarry-")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 #: Field types of a schema and the Spark types that hold them.
@@ -87,26 +93,37 @@ class IndexStore:
 
     def versions(self) -> list[int]:
         fs, p = self._fs(f"{self.path}/versions")
-        return sorted(int(s.getPath().getName().removesuffix(".json")) for s in fs.listStatus(p) if s.getPath().getName().endswith(".json")) if fs.exists(p) else []
+        return sorted(int(s.getPath().getName().removesuffix(".json")) for s in fs.listStatus(p) if s.getPath().getName().endswith(".json") and s.getLen()) if fs.exists(p) else []
 
     def manifest(self, version: int | None = None) -> dict:
-        known = self.versions()
-        if not known:
+        version = version or (self.versions() or [0])[-1]
+        if not version:
             return {"segments": [], "deleted": []}
-        text = self.spark.read.text(f"{self.path}/versions/{version or known[-1]}.json", wholetext=True).first()[0]
+        text = self.spark.read.text(f"{self.path}/versions/{version}.json", wholetext=True).first()[0]
         return json.loads(text)
 
-    def _commit(self, manifest: dict) -> int:
-        version = (self.versions() or [0])[-1] + 1
-        fs, tmp = self._fs(f"{self.path}/versions/.{uuid.uuid4().hex}")
-        out = fs.create(tmp)
+    def _commit(self, manifest: dict, read: int) -> int:
+        """The manifest as the version after `read`, the one it was made from. Fails if another writer has made that version since."""
+        version = read + 1
+        fs, final = self._fs(f"{self.path}/versions/{version}.json")
+        try:
+            out = fs.create(final, False)  # exclusive, also where a rename would overwrite
+        except Exception as e:
+            raise FileExistsError(f"version {version} exists") from e
         out.write(bytearray(json.dumps(manifest).encode()))
         out.close()
-        _, final = self._fs(f"{self.path}/versions/{version}.json")
-        if not fs.rename(tmp, final):  # another writer was first
-            raise OSError(f"version {version} exists")
         return version
 
+    def _change(self, change: Callable[[dict], dict]) -> int:
+        """Commits a change that holds for any version, made again to what other writers have committed meanwhile."""
+        for _ in range(100):
+            read = (self.versions() or [0])[-1]
+            try:
+                return self._commit(change(self.manifest(read)), read)
+            except FileExistsError:
+                time.sleep(0.1)
+        raise OSError(f"{self.path} is written too often")
+
     # --- writing -----------------------------------------------------------------------------------
 
     def add(self, docs: DataFrame, fields: dict[str, Analyzer], sort_by: list[str] | None = None, codec: str = "zstd", stored: bool = True) -> int:
@@ -116,24 +133,14 @@ class IndexStore:
         index = Index(docs, fields, self.key)
         rows = docs if sort_by is None else docs.repartitionByRange(*sort_by).sortWithinPartitions(*sort_by)
         rows.write.option("compression", codec).parquet(f"{base}/stored")
-        postings = lengths = None
-        for f in fields:
-            p = index.postings(f).select(F.lit(f).alias("field"), "term", "doc_id", "tf", "positions")
-            n = index.lengths(f).select(F.lit(f).alias("field"), "doc_id", "dl")
-            postings = p if postings is None else postings.union(p)
-            lengths = n if lengths is None else lengths.union(n)
-        if postings is not None:
-            postings.repartitionByRange("field", "term", "doc_id").sortWithinPartitions("field", "term", "doc_id").write.option("compression", codec).parquet(f"{base}/postings")
-            lengths.write.option("compression", codec).parquet(f"{base}/lengths")
-        m = self.manifest()
-        return self._commit({"segments": [*m["segments"], {"name": name, "fields": list(fields), "from": len(m["deleted"])}], "deleted": m["deleted"]})
+        write_postings(index, base, codec)
+        return self._change(lambda m: {"segments": [*m["segments"], {"name": name, "fields": list(fields), "from": len(m["deleted"])}], "deleted": m["deleted"]})
 
     def delete(self, ids: DataFrame) -> int:
         """Documents by key, out of all segments so far; soft until a merge."""
         name = uuid.uuid4().hex
         ids.select(F.col(ids.columns[0]).alias(self.key)).distinct().write.parquet(f"{self.path}/deleted/{name}")
-        m = self.manifest()
-        return self._commit({"segments": m["segments"], "deleted": [*m["deleted"], name]})
+        return self._change(lambda m: {"segments": m["segments"], "deleted": [*m["deleted"], name]})
 
     def delete_where(self, predicate: str) -> int:
         """Documents whose stored fields satisfy a predicate."""
@@ -145,8 +152,9 @@ class IndexStore:
         return self.add(docs, fields)
 
     def merge(self, partitions: int | None = None, fields: dict[str, Analyzer] | None = None) -> int:
-        """All live documents as one segment; what was deleted is gone."""
-        m = self.manifest()
+        """All live documents as one segment; what was deleted is gone. Fails if others have written meanwhile."""
+        read = (self.versions() or [0])[-1]
+        m = self.manifest(read)
         name = uuid.uuid4().hex
         base = f"{self.path}/segments/{name}"
         for kind in ("stored", "postings", "lengths"):
@@ -155,12 +163,11 @@ class IndexStore:
                 rows = rows.repartitionByRange("field", "term", "doc_id").sortWithinPartitions("field", "term", "doc_id") if kind == "postings" else (rows if partitions is None else rows.repartition(partitions))
                 rows.write.parquet(f"{base}/{kind}")
         names = sorted({f for s in m["segments"] for f in s["fields"]})
-        return self._commit({"segments": [{"name": name, "fields": names, "from": 0}], "deleted": []})
+        return self._commit({"segments": [{"name": name, "fields": names, "from": 0}], "deleted": []}, read)
 
     def merge_from(self, *others: IndexStore) -> int:
         """Other indexes' segments as this one's, copied."""
-        m = self.manifest()
-        segments = list(m["segments"])
+        segments = []
         for o in others:
             om = o.manifest()
             name = uuid.uuid4().hex
@@ -168,8 +175,8 @@ class IndexStore:
                 rows = o._read(kind, om)
                 if rows is not None:
                     rows.write.parquet(f"{self.path}/segments/{name}/{kind}")
-            segments.append({"name": name, "fields": sorted({f for s in om["segments"] for f in s["fields"]}), "from": len(m["deleted"])})
-        return self._commit({"segments": segments, "deleted": m["deleted"]})
+            segments.append({"name": name, "fields": sorted({f for s in om["segments"] for f in s["fields"]})})
+        return self._change(lambda m: {"segments": [*m["segments"], *({**s, "from": len(m["deleted"])} for s in segments)], "deleted": m["deleted"]})
 
     def expunge(self, keep: int = 1) -> list[int]:
         """Manifests of all but the last `keep` versions go; returns those that stay."""
@@ -210,6 +217,49 @@ class IndexStore:
         self._read("postings", self.manifest()).write.json(path)
 
 
+def write_postings(index: Index, base: str, codec: str = "zstd") -> None:
+    """An index's postings, ranged and sorted by field, term and document, and its lengths, under a path.
+
+    Tokens are written as they are grouped and then read again: finding the ranges takes a look at
+    all rows, which is cheaper on what is written than by analysing every text twice.
+    """
+    postings = None
+    for f in index.fields:
+        p = index._postings(f, None).select(F.lit(f).alias("field"), "term", "doc_id", "dl", "tf", "positions")
+        postings = p if postings is None else postings.union(p)
+    if postings is None:
+        return
+    spark = index.docs.sparkSession
+    postings.write.parquet(f"{base}/unsorted")
+    rows = spark.read.parquet(f"{base}/unsorted")
+    rows.repartitionByRange("field", "term", "doc_id").sortWithinPartitions("field", "term", "doc_id").write.option("compression", codec).parquet(f"{base}/postings")
+    rows.select("field", "doc_id", "dl").distinct().write.option("compression", codec).parquet(f"{base}/lengths")
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{base}/unsorted")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+_KEPT: dict[tuple, str] = {}
+
+
+def stored_index(spark: SparkSession, path: str, fields: dict[str, Analyzer], key: str = "doc_id") -> Index:
+    """An index of the table at `path`, whose postings are stored once in a session and then read by all queries.
+
+    The table's files, with their sizes and times, are part of what identifies the postings: a
+    table that has changed is indexed anew.
+    """
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    files = sorted((s.getPath().toString(), s.getLen(), s.getModificationTime()) for s in fs.listStatus(where))
+    known = (spark.sparkContext.applicationId, tuple(files), key, tuple(sorted((n, f.__qualname__) for n, f in fields.items())))
+    docs = spark.read.parquet(path)
+    if known not in _KEPT:
+        base = scratch_path(spark, "postings")
+        write_postings(Index(docs, fields, key), base)
+        _KEPT[known] = base
+    base = _KEPT[known]
+    return Index(docs, fields, key, stored=spark.read.parquet(f"{base}/postings"), stored_lengths=spark.read.parquet(f"{base}/lengths"))
+
+
 def multi(*indexes: DataFrame) -> DataFrame:
     """Several indexes' documents as one, with their number as `shard`."""
     out = None

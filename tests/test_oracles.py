@@ -1,4 +1,4 @@
-"""Queries against their SQL in DuckDB on the smallest tables: one or more of each family, or all with QUARRY_ALL=1."""
+"""Every query against its SQL in DuckDB on the smallest tables."""
 
 from __future__ import annotations
 
@@ -13,20 +13,9 @@ from quarry import catalog
 
 DATA = os.environ.get("QUARRY_TEST_DATA", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-#: Families by the first words of their queries' names; of each so many are run.
-FAMILY, EACH = 1, 2
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
 
 
-def chosen(names):
-    if os.environ.get("QUARRY_ALL"):
-        return sorted(names)
-    seen = {}
-    for n in sorted(names):
-        seen.setdefault("_".join(n.split("_")[:FAMILY]), []).append(n)
-    return [n for own in seen.values() for n in own[:EACH]]
-
-
 @pytest.fixture(scope="module")
 def duck():
     c = duckdb.connect()
@@ -41,14 +30,14 @@ def rows(frame):
     return sorted(tuple(show(v) for v in r) for r in frame.itertuples(index=False))
 
 
-@pytest.mark.parametrize("name", chosen(catalog.ORACLES))
+@pytest.mark.parametrize("name", sorted(catalog.ORACLES))
 def test_oracle(spark, duck, name):
     ours, theirs = catalog.QUERIES[name](spark, DATA).toPandas(), duck.execute(catalog.ORACLES[name]).df()
     assert sorted(ours.columns) == sorted(theirs.columns)
     assert rows(ours) == rows(theirs)
 
 
-@pytest.mark.parametrize("name", chosen(set(catalog.QUERIES) - set(catalog.ORACLES)))
+@pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLES)))
 def test_runs(spark, name):
     assert catalog.QUERIES[name](spark, DATA).count() >= 0
 
