@@ -27,9 +27,11 @@ def keyword(text: Column) -> Column:
 
 
 def shingles(tokens: Column, n: int, separator: str = " ") -> Column:
-    """Runs of n consecutive tokens, joined."""
-    last = F.size(tokens) - n + 1
-    return F.when(last >= 1, F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.array_join(F.slice(tokens, i, n), separator))).otherwise(F.array().cast("array<string>"))
+    """Runs of n consecutive tokens, joined: tokens zipped with themselves shifted, so that nothing is computed anew for each run."""
+    out = tokens
+    for k in range(2, n + 1):
+        out = F.zip_with(out, F.slice(tokens, F.lit(k), F.greatest(F.size(tokens), F.lit(0))), lambda a, b: F.concat(a, F.lit(separator), b))
+    return F.array_compact(out)
 
 
 def ngrams(token: Column, low: int, high: int) -> Column:
