@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -10,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructType
 
 #: Texts handled by one vectorised step hold at most about so many bytes (a longer text is a step of its own).
@@ -17,7 +22,7 @@ STEP_BYTES = 1 << 20
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in spark.checkpoint.dir; a temporary one only where it is unset."""
+    """The shared folder that the cluster names in spark.checkpoint.dir; a temporary one only where it is unset and there is but one machine."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if named:
@@ -25,6 +30,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
             sc.setCheckpointDir(named)
         return named
     if sc._jsc.sc().getCheckpointDir().isEmpty():
+        if not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("on a cluster spark.checkpoint.dir has to name a shared folder")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
@@ -46,36 +53,69 @@ def without(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in low])
 
 
-def map_columns(df: DataFrame, inputs: list[str], added: str, make: Callable[[], Callable], keep: list[str] | None = None, step: int = STEP_BYTES) -> DataFrame:
-    """df (or its columns `keep`) with the columns `added` (DDL), computed from `inputs` by Arrow batch.
+def map_columns(df: DataFrame, column: str, added: str, make: Callable[[], Callable], keep: list[str] | None = None, step: int = STEP_BYTES) -> DataFrame:
+    """df (or its columns `keep`) with the columns `added` (DDL), computed from `column` by Arrow batch.
 
-    `make()` is called once in each task and returns a function from the input arrays to a list
-    of result arrays. Batches are cut so that one call sees about `step` bytes at most.
+    `make()` is called once in each task and returns a function from an array to a list of result
+    arrays. Batches are cut so that one call sees about `step` bytes at most. Only `column` goes to
+    the Python worker and only the results come back: all else stays in the JVM.
     """
     new = StructType.fromDDL(added)
     df = without(df, *new.names)
     kept = df.columns if keep is None else keep
-    df = df.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(kept)], *[F.col(f"`{c}`").alias(f"i{i}") for i, c in enumerate(inputs)])
-    schema = StructType([f for f in df.schema.fields if f.name[0] == "k"] + [f for f in new.fields])
-    nk = len(kept)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         fn = make()
-        for whole in batches:
-            for batch in pieces(whole, step):
-                out = fn(*batch.columns[nk:])
-                yield pa.RecordBatch.from_arrays([*batch.columns[:nk], *out], names=schema.names)
+        try:
+            for whole in batches:
+                out = [pa.StructArray.from_arrays(fn(batch), names=new.names) for batch in pieces(whole, step)]
+                yield pa.concat_arrays(out) if out else pa.array([], pa.struct([(f.name, to_arrow_type(f.dataType)) for f in new.fields]))
+        finally:
+            release()
+
+    # Not deterministic as far as the optimiser is told: it would else run the function once for a filter and again for a projection.
+    fn = F.arrow_udf(run, new).asNondeterministic()
+    own = "computed_"
+    while own in map(str.lower, df.columns):
+        own += "_"
+    out = df.withColumn(own, fn(F.col(f"`{column}`")))
+    return out.select(*[F.col(f"`{c}`") for c in kept], *[F.col(own)[f.name].alias(f.name) for f in new.fields])
+
+
+def released(fn: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A function of Arrow batches that calls release() at the task's end."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from fn(batches)
+        finally:
+            release()
+
+    return run
+
+
+def own_columns(df: DataFrame, *inputs: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """df with `text` (and other `inputs`) under their names and all else under names that clash with nothing; and the way back."""
+    inputs = ("text", *inputs)
+    name = {c: c if c in inputs else f"own_{i}" for i, c in enumerate(df.columns)}
+    inner = df.select(*[F.col(f"`{c}`").alias(n) for c, n in name.items()])
+    return inner, lambda out: out.select(*[F.col(n).alias(c) for c, n in name.items()])
+
 
-    out = df.mapInArrow(run, schema)
-    return out.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(kept)], *new.names)
+def release() -> None:
+    """Gives memory that a task has freed back to the machine: workers live on, and the next stage's find it taken else."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL(None).malloc_trim(0)
 
 
-def pieces(batch: pa.RecordBatch, most: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
+def pieces(batch: pa.RecordBatch | pa.Array, most: int = STEP_BYTES) -> Iterator:
     """The batch in slices of about `most` bytes."""
-    if not batch.num_rows:
+    if not len(batch):
         return
-    rows = max(1, int(batch.num_rows * most / max(1, batch.nbytes)))
-    for at in range(0, batch.num_rows, rows):
+    rows = max(1, int(len(batch) * most / max(1, batch.nbytes)))
+    for at in range(0, len(batch), rows):
         yield batch.slice(at, rows)
 
 

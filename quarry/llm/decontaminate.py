@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binary, map_columns
+from .common import binary, map_columns, own_columns, released
 
 #: Words in a window; an item of fewer words, but not none, is one window.
 WINDOW = 8
@@ -207,7 +207,7 @@ def annotate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_it
 
         return run
 
-    return map_columns(docs, ["text"], "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean", make, keep, SHARD_BYTES)
+    return map_columns(docs, "text", "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean", make, keep, SHARD_BYTES)
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -223,12 +223,10 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> Data
                 rows += [(ids[d], w, i, k, n) for d, w, i, k, n in find(block.value, texts, spans=True)[2]]
             yield pa.RecordBatch.from_pylist([dict(zip(("doc_id", "doc_word", "item_id", "item_word", "n_words"), r, strict=True)) for r in rows], schema=pa.schema([("doc_id", pa.int64()), ("doc_word", pa.int64()), ("item_id", pa.string()), ("item_word", pa.int64()), ("n_words", pa.int64())]))
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, doc_word long, item_id string, item_word long, n_words long")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(released(run), "doc_id long, doc_word long, item_id string, item_word long, n_words long")
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, min_items: int = MIN_ITEMS) -> DataFrame:
     """The documents, with their own columns, in which windows of fewer than min_items items occur."""
-    columns = docs.columns
-    inner = docs.select(*[F.col(f"`{c}`").alias(f"own_{i}") for i, c in enumerate(columns)], F.col("text"))
-    out = annotate(inner, benchmark, min_items=min_items, keep=[c for c in inner.columns if c != "text"]).where("not contaminated")
-    return out.select(*[F.col(f"own_{i}").alias(c) for i, c in enumerate(columns)])
+    inner, restore = own_columns(docs)
+    return restore(annotate(inner, benchmark, min_items=min_items).where("not contaminated"))

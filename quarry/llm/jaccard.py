@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import HashTable, binary, checkpointed, connected_components, map_columns, ngram_hashes, pieces, word_hashes
+from .common import HashTable, binary, checkpointed, connected_components, map_columns, ngram_hashes, pieces, released, word_hashes
 
 SHINGLE = 4
 #: Two sets link when 100 * intersection >= PERCENT * union.
@@ -67,7 +67,7 @@ def members(docs: DataFrame, n: int = SHINGLE) -> DataFrame:
         for batch, sets in _sets(batches, 1, n):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([set_id(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64())], names=["doc_id", "set_id", "n_shingles"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, set_id long, n_shingles long")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(released(run), "doc_id long, set_id long, n_shingles long")
 
 
 def _first(tokens: np.ndarray) -> np.ndarray:
@@ -83,7 +83,7 @@ def frequent(docs: DataFrame, n: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]
             t, c = np.unique(np.concatenate([*kept, np.zeros(0, np.uint64)]), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(t.view(np.int64)), pa.array(c.astype(np.int64))], names=["t", "c"])
 
-    counts = docs.select(F.col("text").cast("string")).mapInArrow(run, "t long, c long").groupBy("t").agg(F.sum("c").alias("c")).where(F.col("c") >= FREQUENT).persist()
+    counts = docs.select(F.col("text").cast("string")).mapInArrow(released(run), "t long, c long").groupBy("t").agg(F.sum("c").alias("c")).where(F.col("c") >= FREQUENT).persist()
     left, least = MAX_FREQUENT, None
     # The histogram has at most as many rows as there are different counts; the largest counts are few.
     for r in counts.groupBy(F.floor(F.log2("c") * 8).alias("b")).agg(F.count("*").alias("k"), F.min("c").alias("least")).orderBy(F.desc("b")).collect():
@@ -127,7 +127,7 @@ def postings(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -> DataF
                 t, s_, m, p = (np.concatenate(c) for c in zip(*out, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(t.view(np.int64)), pa.array(s_.astype(np.int64)), pa.array(m.astype(np.int32)), pa.array(p.astype(np.int32))], names=["t", "s", "n", "pos"])
 
-    return docs.select(F.col("text").cast("string")).mapInArrow(run, "t long, s long, n int, pos int")
+    return docs.select(F.col("text").cast("string")).mapInArrow(released(run), "t long, s long, n int, pos int")
 
 
 def blocks(index: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -176,7 +176,7 @@ def sets_of(docs: DataFrame, needed: DataFrame, n: int = SHINGLE) -> DataFrame:
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["s", "tokens"])
 
-    out = docs.select(F.col("text").cast("string")).mapInArrow(run, "s long, tokens binary")
+    out = docs.select(F.col("text").cast("string")).mapInArrow(released(run), "s long, tokens binary")
     return (out if few else out.join(needed, "s", "left_semi")).groupBy("s").agg(F.first("tokens").alias("tokens"))
 
 
@@ -295,7 +295,7 @@ def links(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -> DataFram
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["a", "b"])
 
     together = meet.join(tokens, "s").select("centre", "i", "j", "s", "own", "side", "tokens").repartition("centre", "i", "j").sortWithinPartitions("centre", "i", "j", "s")
-    return together.mapInArrow(run, "a long, b long")
+    return together.mapInArrow(released(run), "a long, b long")
 
 
 def _rooted(own: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
@@ -331,7 +331,7 @@ def keep_one(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -> DataF
     own = "near_set"
     while own in map(str.lower, docs.columns):
         own += "_"
-    marked = map_columns(docs.where(words), ["text"], f"{own} long", lambda: lambda texts: [pa.array([set_id(s) for s in shingle_sets(binary(texts), n)], pa.int64())])
+    marked = map_columns(docs.where(words), "text", f"{own} long", lambda: lambda texts: [pa.array([set_id(s) for s in shingle_sets(binary(texts), n)], pa.int64())])
     # The join and the choice of one of several equal rows deal by the same keys: texts are shuffled once.
     doc_id = F.col("doc_id").cast("long")
     marked = marked.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(own).alias("set_id"), F.coalesce(doc_id, F.lit(0)).alias("id"), doc_id.isNull().alias("none"))

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import binary, map_columns, unit_hash, without
+from .common import binary, map_columns, own_columns, unit_hash, without
 
 #: Trained on at most about so many characters of each language ...
 SAMPLE_CHARS = 400_000
@@ -201,7 +201,7 @@ def predict(docs: DataFrame, model: ContextTrees, keep: list[str] | None = None)
 
         return run
 
-    return map_columns(docs, ["text"], "lang_pred string, score double, bits_per_byte double", make, keep)
+    return map_columns(docs, "text", "lang_pred string, score double, bits_per_byte double", make, keep)
 
 
 def identify(docs: DataFrame) -> DataFrame:
@@ -216,8 +216,6 @@ REJECT_BITS = 6.0
 
 def keep_identified(docs: DataFrame) -> DataFrame:
     """The documents, with their own columns, whose language is recognised: not `und`, posterior at least a half, at most REJECT_BITS."""
-    columns = docs.columns
-    inner = docs.select(*[F.col(f"`{c}`").alias(f"own_{i}") for i, c in enumerate(columns)], F.col("text"))
-    out = predict(inner, train(docs), [c for c in inner.columns if c != "text"])
-    out = out.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= 0.5) & (F.col("bits_per_byte") <= REJECT_BITS))
-    return out.select(*[F.col(f"own_{i}").alias(c) for i, c in enumerate(columns)])
+    inner, restore = own_columns(docs)
+    out = predict(inner, train(docs))
+    return restore(out.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= 0.5) & (F.col("bits_per_byte") <= REJECT_BITS)))

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import START, binary, mix, sequences
+from .common import START, binary, mix, released, sequences
 
 ORDER = 3
 ALPHA = 0.4
@@ -183,9 +183,9 @@ def score(docs: DataFrame, order: int = ORDER) -> DataFrame:
         return pa.table({"doc_id": table["doc_id"], "n_words": pa.array(n, pa.int64()), "score": pa.array(s, pa.float64()), "per_word": pa.array(per, pa.float64())})
 
     tokens = docs.select(F.sum(F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)))).first()[0] or 0
-    packed = docs.mapInArrow(first, "shard long, block long, hashes binary, counts binary")
-    back = packed.repartition(int(shards), "shard").sortWithinPartitions("shard", "block").mapInArrow(joined, "block long, shard long, counts binary")
-    whole = docs.mapInArrow(texts, "block long, texts binary")
+    packed = docs.mapInArrow(released(first), "shard long, block long, hashes binary, counts binary")
+    back = packed.repartition(int(shards), "shard").sortWithinPartitions("shard", "block").mapInArrow(released(joined), "block long, shard long, counts binary")
+    whole = docs.mapInArrow(released(texts), "block long, texts binary")
     return back.groupBy("block").cogroup(whole.groupBy("block")).applyInArrow(last, "doc_id long, n_words long, score double, per_word double")
 
 

@@ -13,7 +13,6 @@ A document is kept if its perplexity is at most a quantile of trusted text in it
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import START, HashTable, binary, checkpointed, map_columns, mix, pieces, sequences, unit_hash
+from .common import START, HashTable, binary, checkpointed, map_columns, mix, own_columns, pieces, released, sequences, unit_hash
 
 #: The model is trained on about so many trusted documents, at most half of them, each no longer than TRAIN_CHARS.
 TRAIN_DOCS = 2000
@@ -64,7 +63,7 @@ def trigram_counts(trusted: DataFrame) -> DataFrame:
                 u, v, w = u[first], v[first], w[first]
                 yield pa.RecordBatch.from_arrays([_signed(h3), _signed(_hash(2, u, v)), _signed(_hash(2, v, w)), _signed(_hash(1, v)), _signed(_hash(1, w)), pa.array(v == START), pa.array(c.astype(np.int64))], names=["h3", "h_uv", "h_vw", "h_v", "h_w", "starts", "c"])
 
-    rows = trusted.select(F.col("text").cast("string")).mapInArrow(run, SCHEMA)
+    rows = trusted.select(F.col("text").cast("string")).mapInArrow(released(run), SCHEMA)
     return rows.groupBy("h3", "h_uv", "h_vw", "h_v", "h_w", "starts").agg(F.sum("c").alias("c"))
 
 
@@ -125,7 +124,7 @@ class Shards:
 
     def __init__(self, terms: DataFrame, unknown: float):
         sc = terms.sparkSession.sparkContext
-        self.unknown, self.key = unknown, uuid.uuid4().hex
+        self.unknown = unknown
         self.parts = []
         terms = checkpointed(terms)
         for k in range(SHARDS):  # of bounded size: TRAIN_DOCS rows of TRAIN_CHARS characters
@@ -134,13 +133,7 @@ class Shards:
             self.parts.append(sc.broadcast((h.view(np.uint64), t["x"].combine_chunks().to_numpy() if len(t) else np.zeros(0, np.float32))))
 
     def opened(self) -> list[tuple[HashTable, np.ndarray]]:
-        if self.key not in _OPEN:  # once in each worker
-            _OPEN.clear()
-            _OPEN[self.key] = [(HashTable(h), np.concatenate([x, np.zeros(1, np.float32)])) for h, x in (p.value for p in self.parts)]
-        return _OPEN[self.key]
-
-
-_OPEN: dict[str, list[tuple[HashTable, np.ndarray]]] = {}
+        return [(HashTable(h), np.concatenate([x, np.zeros(1, np.float32)])) for h, x in (p.value for p in self.parts)]
 
 
 def log_probabilities(texts: list[bytes | None], shards: list[tuple[HashTable, np.ndarray]], unknown: float) -> tuple[np.ndarray, np.ndarray]:
@@ -185,7 +178,7 @@ def score(docs: DataFrame, model: Shards | None, keep: list[str] | None = None)
 
         return run
 
-    return map_columns(docs, ["text"], "n_words long, perplexity double", make, keep)
+    return map_columns(docs, "text", "n_words long, perplexity double", make, keep)
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
@@ -236,10 +229,8 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents, with their own columns, that classify() keeps. Scored twice, so that no text is shuffled."""
-    columns = docs.columns
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     model, rate = train(own, labels)
     limits = thresholds(checkpointed(score(own, model, ["doc_id", "lang"])), labels, rate)
-    inner = docs.select(*[F.col(f"`{c}`").alias(f"own_{i}") for i, c in enumerate(columns)], F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    out = score(inner, model, [c for c in inner.columns if c != "text"]).where(_verdict(*limits)[1])
-    return out.select(*[F.col(f"own_{i}").alias(c) for i, c in enumerate(columns)])
+    inner, restore = own_columns(docs, "lang")
+    return restore(score(inner, model).where(_verdict(*limits)[1]))

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binary, map_columns, pieces, unit_hash
+from .common import binary, map_columns, pieces, released, unit_hash
 
 #: The chain: names and SQL expressions over labels, each 0, 1 or null.
 CATEGORIES = (("low_quality", "1 - quality"), ("toxic", "toxic"))
@@ -136,7 +136,7 @@ def train(docs: DataFrame, labels: DataFrame, categories=CATEGORIES) -> list[Lin
                 found = [buckets.of(t).astype(np.int32) for t in binary(batch.column(1))]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int32())), *batch.columns[2:]], names=["doc_id", "words", *(f"y{k}" for k in range(len(categories)))])
 
-    table = joined.mapInArrow(run, "doc_id long, words array<int>, " + ", ".join(f"y{k} double" for k in range(len(categories)))).toPandas()
+    table = joined.mapInArrow(released(run), "doc_id long, words array<int>, " + ", ".join(f"y{k} double" for k in range(len(categories)))).toPandas()
     table = table.sort_values("doc_id", kind="stable").drop_duplicates("doc_id")
     sizes = [len(w) for w in table["words"]]
     rows = np.repeat(np.arange(len(table)), sizes)
@@ -171,7 +171,7 @@ def predict(docs: DataFrame, chain: list[Linear], categories=CATEGORIES, keep: l
 
         return run
 
-    return map_columns(docs, ["text"], ", ".join(f"p_{c} double, {c} boolean" for c, _ in categories), make, keep)
+    return map_columns(docs, "text", ", ".join(f"p_{c} double, {c} boolean" for c, _ in categories), make, keep)
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
