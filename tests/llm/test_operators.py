@@ -574,12 +574,50 @@ def test_copies_keep_their_text(spark, groups, wrap):
 
 def test_whole_elements_stay():
     root = page_text.parse('<html><body><div role="main"><p>a</p></div><main><article><p>b</p></article></main></body></html>')
-    places = {x.place for kind, x in page_text.walk(root) if kind == "start" and x.tag != "p"}
-    assert "\n".join(page_text.blocks(root, places)) == "a\nb"
+    page_text.weigh(root, {x.place: (0.0, 0.0, 1) for kind, x in page_text.walk(root) if kind == "start" and x.tag != "p"})
+    assert page_text.blocks_of(root) == ["a", "b"]
+
+
+@pytest.mark.parametrize("page, text", [
+    ('<div class="content has-sidebar"><p>Long story here</p></div>', "Long story here"),
+    ("<body><form><h1>T</h1><p>Long story</p><input></form></body>", "T\nLong story"),
+    ("<article><header><h1>Headline</h1></header><p>body</p></article>", "Headline\nbody"),
+    ("<body><article><h3>Teaser</h3></article><div><h1>Story</h1><p>Long long story</p></div></body>", "Teaser\nStory\nLong long story"),
+    ('<article><p>a</p><p class="notice-period">Three months</p><p class="notice">n</p></article>', "a\nThree months"),
+    ('<p>a</p><a href="x>y</p><p>z', "a\ny\nz"),
+    ('<article>x</article><div class="site-footer"><p>long long footer</p></div>', "x"),
+    ('<div class="widget"><p>most of the page</p></div><div>x</div>', "x"),
+])
+def test_names_are_one_sign(page, text):
+    assert page_text.main_text(page) == text
+
+
+def test_composite_importance():
+    # the menu's entries change little and its presentation doesn't; beside it a place that each page fills differently
+    root = page_text.parse("<div><ul><li>a</li><li>b</li></ul><p>story</p></div>")
+    place = {x.tag: x.place for kind, x in page_text.walk(root) if kind == "start"}
+    page_text.weigh(root, {place["div"]: (0.9, 0.0, 1), place["ul"]: (0.1, 0.0, 1), place["li"]: (0.1, 1.0, 1), place["p"]: (1.0, 1.0, 1)})
+    assert {x.tag for kind, x in page_text.walk(root) if kind == "start" and x.noise} == {"ul", "li"}
+    # many presentations: the place's own importance counts for more than its children's
+    root = page_text.parse("<div><b>a</b></div>")
+    place = {x.tag: x.place for kind, x in page_text.walk(root) if kind == "start"}
+    page_text.weigh(root, {place["div"]: (0.1, 0.9, 20), place["b"]: (0.1, 1.0, 1)})
+    assert [x.noise for kind, x in page_text.walk(root) if kind == "start"] == [False, True]
+
+
+@pytest.mark.parametrize("broadcast", [10**6, 0])
+def test_tree_alone_cleans_a_site_without_names(spark, broadcast):
+    menu = "".join(f"<div><b>{w}</b></div>" for w in ("Home", "Shop", "Help"))
+    pages = [(i, f"http://site.org/{i}", f"<html><body><div class='a'>{menu}</div><div class='b'><h1>Title {i}</h1><p>Story number {i} tells of {i * 7}.</p><p>More of {i}</p></div><div class='c'><p>Imprint</p><p>All rights reserved</p></div></body></html>") for i in range(40)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = page_text.extract(df, max_broadcast=broadcast).collect()
+    assert len(got) == 40 and all(r["text"] == f"Title {r['page_id']}\nStory number {r['page_id']} tells of {r['page_id'] * 7}.\nMore of {r['page_id']}" for r in got)
+    alone = page_text.main_text(pages[0][2]).split("\n")
+    assert len(alone) == 8  # five of eight blocks go by the tree
 
 
 def test_style_tree_has_every_level(spark):
-    assert len(page_text.features(page_text.parse("<div>" * 20_000 + "deep"))) == 20_000
+    assert len(page_text.features(page_text.parse("<div>" * 200_000 + "deep"))) == 200_000
     one, two = (page_text.features(page_text.parse(f"<div><p>a</p><p>{x}</p><b>c</b></div>")) for x in "bx")
     assert [one[p] == two[p] for p in one] == [False, False, True]
     pages = [(i, f"http://site.org/{i}", "<div>" * 80 + f"<p>Story number {i}</p><b><u>All rights reserved</u></b>") for i in range(12)]
