@@ -3,16 +3,20 @@
 from __future__ import annotations
 
 import functools
-from collections.abc import Callable
+import time
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import dot
 
 LAST, FIRST = "last", "first"
+#: Ranked lists are fused to this depth.
+FUSED = 100_000
 
 
 def top(hits: DataFrame, k: int, offset: int = 0) -> DataFrame:
@@ -88,11 +92,11 @@ def merge(shards: list[DataFrame], k: int, keys: list[By] | None = None, offset:
 
 
 def reciprocal_rank_fusion(lists: list[DataFrame], k: int = 60, top_n: int | None = None) -> DataFrame:
-    """(doc_id, score): sum of 1 / (k + rank) over ranked lists of hits. Each list should hold its top hits only: ranks are counted over all of it."""
+    """(doc_id, score): sum of 1 / (k + rank) over ranked lists of hits, of each its FUSED best."""
     rows = []
     for i, h in enumerate(lists):
-        rank = F.row_number().over(Window.partitionBy(F.lit(i)).orderBy(F.desc("score"), "doc_id"))
-        rows.append(h.select("doc_id", (1.0 / (k + rank)).alias("score")))
+        rank = F.row_number().over(Window.partitionBy(F.lit(i)).orderBy(F.desc("score"), "doc_id"))  # of FUSED rows
+        rows.append(top(h, FUSED).select("doc_id", (1.0 / (k + rank)).alias("score")))
     out = functools.reduce(DataFrame.union, rows).groupBy("doc_id").agg(F.sum("score").alias("score"))
     return out if top_n is None else top(out, top_n)
 
@@ -130,6 +134,19 @@ def early(hits: DataFrame, n: int) -> DataFrame:
     return hits.limit(n)
 
 
+def within_time(hits: DataFrame, seconds: float) -> DataFrame:
+    """The hits that are collected in so many seconds from now: each task ends at the deadline, between two batches, with what it has."""
+    deadline = time.time() + seconds
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if time.time() > deadline:
+                return
+            yield b
+
+    return hits.mapInArrow(run, hits.schema)
+
+
 def positive(hits: DataFrame) -> DataFrame:
     return hits.where("score > 0")
 

@@ -31,6 +31,11 @@ def grouped(hits: DataFrame, group: str, n: int, per_group: int, group_sort: lis
     return second_pass(hits, first_pass(hits, group, n, group_sort, offset), group, per_group, within, doc_offset)
 
 
+def block_grouped(children: DataFrame, parent: str, n: int, per_group: int, keys: list[By] | None = None) -> DataFrame:
+    """grouped() of blocks: rows that were indexed with their parent's id. A block is a group even if it has one row."""
+    return grouped(children, parent, n, per_group, keys, keys)
+
+
 def all_groups(hits: DataFrame, group: str) -> DataFrame:
     return hits.select(group).where(F.col(group).isNotNull()).distinct()
 

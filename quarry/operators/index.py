@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -90,12 +90,7 @@ class Index:
     def ids(self) -> DataFrame:
         return self.docs.select(F.col(self.key).alias("doc_id"))
 
-    def scored(self, name: str, where: Column, boosts: Column | None = None, similarity: sim.Similarity | None = None, most_terms: int | None = None) -> DataFrame:
-        """(doc_id, term, tf, score): each matching posting with its score.
-
-        most_terms: `where` accepts no more terms than this, so that their statistics, a row for
-        each, may be broadcast whatever the size of the corpus.
-        """
+    def _weighed(self, name: str, where: Column, boosts: Column | None, most_terms: int | None) -> tuple[DataFrame, sim.Stats]:
         if self.stored is not None:
             hits = self._postings(name, where).select("doc_id", "term", "dl", "tf")
         else:
@@ -104,6 +99,29 @@ class Index:
         if most_terms is not None and most_terms <= MAX_BROADCAST_TERMS:
             stats = F.broadcast(stats)
         n, total = self.stats(name)
-        fn = similarity or sim.of_field(self.similarity, name)
-        s = sim.Stats(F.col("tf"), F.col("dl"), F.col("df"), F.col("ttf"), n, total, 1.0 if boosts is None else boosts)
-        return hits.join(stats, "term").select("doc_id", "term", "tf", fn(s).alias("score"))
+        return hits.join(stats, "term"), sim.Stats(F.col("tf"), F.col("dl"), F.col("df"), F.col("ttf"), n, total, 1.0 if boosts is None else boosts)
+
+    def scored(self, name: str, where: Column, boosts: Column | None = None, similarity: sim.Similarity | None = None, most_terms: int | None = None) -> DataFrame:
+        """(doc_id, term, tf, score): each matching posting with its score.
+
+        most_terms: `where` accepts no more terms than this, so that their statistics, a row for
+        each, may be broadcast whatever the size of the corpus.
+        """
+        rows, s = self._weighed(name, where, boosts, most_terms)
+        return rows.select("doc_id", "term", "tf", (similarity or sim.of_field(self.similarity, name))(s).alias("score"))
+
+    def scored_by(self, name: str, where: Column, similarities: dict[str, sim.Similarity], most_terms: int | None = None) -> DataFrame:
+        """(doc_id, similarity, score): each matching posting under several similarities, read once."""
+        rows, s = self._weighed(name, where, None, most_terms)
+        each = F.array(*[F.struct(F.lit(n).alias("similarity"), fn(s).cast("double").alias("score")) for n, fn in similarities.items()])
+        return rows.select("doc_id", F.explode(each).alias("x")).select("doc_id", "x.similarity", "x.score")
+
+    def in_memory(self) -> Index:
+        """This index with its postings kept by the executors, as far as memory and disk allow."""
+        rows = self.stored
+        if rows is None:
+            for f in self.fields:
+                p = self._postings(f, None).select(F.lit(f).alias("field"), "term", "doc_id", "dl", "tf", "positions")
+                rows = p if rows is None else rows.union(p)
+        lengths = rows.select("field", "doc_id", "dl").distinct() if self.stored_lengths is None else self.stored_lengths
+        return replace(self, stored=rows.persist(), stored_lengths=lengths.persist())

@@ -23,6 +23,13 @@ def knn(docs: DataFrame, vector: str, query: Sequence[float], k: int, function:
     return top(scores(docs, vector, query, function, key, where), k)
 
 
+def seeded(docs: DataFrame, vector: str, query: Sequence[float], k: int, seeds: Column, function: str = V.EUCLIDEAN, key: str = "doc_id") -> DataFrame:
+    """The k nearest, exactly: the k-th best score of the seeds, which are scored first, bounds those that are sorted."""
+    rows = scores(docs, vector, query, function, key)
+    first = scores(docs.where(seeds), vector, query, function, key).orderBy(F.desc("score")).limit(k).agg(F.count("*"), F.min("score")).first()
+    return top(rows.where(F.col("score") >= first[1]) if first[0] == k else rows, k)
+
+
 def knn_bytes(docs: DataFrame, vector: str, query: Sequence[int], k: int, function: str = V.EUCLIDEAN, key: str = "doc_id") -> DataFrame:
     s = V.byte_similarity(F.col(vector), [float(x) for x in query], function, len(query))
     return top(docs.where(F.col(vector).isNotNull()).select(F.col(key).alias("doc_id"), s.alias("score")), k)
@@ -65,5 +72,5 @@ def approximate(docs: DataFrame, vector: str, query: Sequence[float], k: int, pl
     return top(near.union(scores(rest, vector, query, function, key)), k)
 
 
-#: Graph searches give the same result as exact search, only sooner; here they are the same plan.
-seeded = patience = knn
+#: Giving up early on a graph's walk has no counterpart where every vector is read: the exact search.
+patience = knn

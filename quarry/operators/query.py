@@ -199,7 +199,9 @@ class DisjunctionMax(Query):
 # --- terms chosen by a predicate -------------------------------------------------------------
 
 #: Rewrites of queries that expand to terms.
-CONSTANT, SCORING, TOP_TERMS = "constant", "scoring", "top_terms"
+CONSTANT, SCORING, TOP_TERMS, BLENDED, AUTO = "constant", "scoring", "top_terms", "blended", "auto"
+#: An automatic rewrite names up to so many terms one by one; beyond, it is the terms' predicate.
+AUTO_TERMS = 350
 
 
 class TooManyClauses(ValueError):
@@ -212,6 +214,9 @@ class MultiTerm(Query):
 
     constant: every hit scores 1. scoring: the matching terms' scores are added, and more than
     max_clauses terms are an error. top_terms: as scoring, of the max_clauses terms of largest boost.
+    blended: as constant; the postings of all terms are read in one pass, so that none need be
+    merged one by one. auto: as constant; a few terms are named, so that stored postings are read
+    by their row groups' bounds.
     """
 
     field: str = ""
@@ -230,7 +235,11 @@ class MultiTerm(Query):
         return t.select("term", self.term_boost(F.col("term")).alias("boost")).orderBy(F.desc("boost"), "term")
 
     def hits(self, index: Index) -> DataFrame:
-        if self.rewrite_as == CONSTANT:
+        if self.rewrite_as == AUTO:
+            few = [r["term"] for r in self.expand(index).limit(AUTO_TERMS + 1).collect()]
+            if len(few) <= AUTO_TERMS:
+                return index.postings(self.field, F.col("term").isin(*few)).select("doc_id").distinct().select("doc_id", F.lit(1.0).alias("score")) if few else empty(index)
+        if self.rewrite_as in (CONSTANT, BLENDED, AUTO):
             return index.postings(self.field, self.accepts(F.col("term"))).select("doc_id").distinct().select("doc_id", F.lit(1.0).alias("score"))
         if self.rewrite_as == SCORING:
             if len(self.expand(index).limit(self.max_clauses + 1).collect()) > self.max_clauses:
@@ -392,6 +401,20 @@ class Range(ColumnQuery):
         return F.exists(self.field, self._one) if self.multi_valued else self._one(F.col(self.field))
 
 
+@dataclass(frozen=True)
+class IndexOrValues(Query):
+    """Two forms of one query, by index and by column values, with the same hits: the columns' where they are scanned anyway, that is, unless postings are stored."""
+
+    index: Query
+    values: Query
+
+    def hits(self, index: Index) -> DataFrame:
+        return (self.index if index.stored is not None else self.values).hits(index)
+
+    def children(self) -> list[Query]:
+        return [self.index]
+
+
 @dataclass(frozen=True)
 class PointRange(ColumnQuery):
     """An inclusive box over several columns."""

@@ -99,8 +99,7 @@ _hits("feature_saturation", Q.Feature("n_chars", "saturation", pivot=1000.0, wei
 _hits("feature_sigmoid", Q.Feature("n_chars", "sigmoid", pivot=1000.0, exponent=0.6), "select doc_id, pow(n_chars, 0.6) / (pow(n_chars, 0.6) + pow(1000, 0.6)) as score from documents where n_chars > 0")
 _hits("feature_log", Q.Feature("n_chars", "log", pivot=10.0), "select doc_id, ln(10 + n_chars) as score from documents where n_chars > 0")
 _hits("distance_feature", Q.DistanceFeature("n_chars", 1000.0, 200.0, 1.5), "select doc_id, 1.5 * 200 / (200 + abs(n_chars - 1000.0)) as score from documents")
-_hits("doc_and_score", lambda i: Q.DocAndScore(i.docs.selectExpr("doc_id", "n_chars % 7 score").where("doc_id % 3 = 0")).hits(i), "select doc_id, (n_chars % 7)::double as score from documents where doc_id % 3 = 0")
-_hits("doc_and_score_all", lambda i: Q.DocAndScore(i.docs.selectExpr("doc_id", "n_chars % 7 score")).hits(i), "select doc_id, (n_chars % 7)::double as score from documents")
+_hits("doc_and_score", lambda i: Q.DocAndScore(i.docs.selectExpr("doc_id", "n_chars % 7 score")).hits(i), "select doc_id, (n_chars % 7)::double as score from documents")
 _hits("rescore_top_query", Q.RescoreTop(T("the"), T("idiot"), 50, 2.0), f"select a.doc_id, a.score + 2 * coalesce(b.score, 0) as score from (select doc_id, {BM25} as score from s where term = 'the' order by score desc, doc_id limit 50) a left join (select doc_id, {BM25} as score from s where term = 'idiot') b using (doc_id)")
 _hits("field_range", Q.Range("n_chars", 1000, 2000, include_high=False), "select doc_id, 1.0::double as score from documents where n_chars >= 1000 and n_chars < 2000")
 _hits("field_exists", Q.Exists("lang"), "select doc_id, 1.0::double as score from documents where lang is not null")

@@ -93,18 +93,30 @@ R.add("distance_ngram")(lambda s, d: documents(s, d).terms("text").where("df >=
 R.add("tokenize_whitespace", "select doc_id, len([x for x in regexp_split_to_array(text, '[ \\t\\n\\x0B\\f\\r]+') if x <> ''])::int as n from documents")(lambda s, d: table(s, d, "documents").select("doc_id", F.size(T.whitespace(F.col("text"))).alias("n")))
 R.add("tokenize_keyword", "select c_mktsegment as term, count(*)::bigint as df from customer group by 1")(lambda s, d: table(s, d, "customer").select(F.explode(T.keyword(F.col("c_mktsegment"))).alias("term")).groupBy("term").agg(F.count("*").alias("df")))
 R.add("tokenize_path", "select path, count(*)::bigint as n from (select unnest([array_to_string(p[1:i], '/') for i in range(1, len(p) + 1)]) as path from (select string_split(regexp_replace(url, '^[a-z]+://', ''), '/') as p from pages)) group by 1")(lambda s, d: table(s, d, "pages").select(F.explode(T.path_prefixes(F.regexp_replace("url", "^[a-z]+://", ""))).alias("path")).groupBy("path").agg(F.count("*").alias("n")))
-R.add("shingles", f"with {TOK} select t1 || ' ' || t2 as shingle, count(*)::bigint as n from (select doc_id, term as t1, lead(term) over (partition by doc_id order by pos) as t2 from tok) where t2 is not null group by 1 having count(*) >= 20")(lambda s, d: table(s, d, "documents").select(F.explode(T.shingles(T.ascii_words(F.col("text")), 2)).alias("shingle")).groupBy("shingle").agg(F.count("*").alias("n")).where("n >= 20"))
+R.add("shingles", f"with {TOK} select t1 || ' ' || t2 as shingle, count(*)::bigint as n from (select doc_id, term as t1, lead(term) over (partition by doc_id order by pos) as t2 from tok) where t2 is not null group by 1")(lambda s, d: table(s, d, "documents").select(F.explode(T.shingles(T.ascii_words(F.col("text")), 2)).alias("shingle")).groupBy("shingle").agg(F.count("*").alias("n")))
 R.add("ngrams", "select g as gram, count(*)::bigint as n from (select unnest([substring(p_type, i, 3) for i in range(1, greatest(length(p_type) - 1, 1))]) as g from part) group by 1")(lambda s, d: table(s, d, "part").select(F.explode(T.ngrams(F.col("p_type"), 3, 3)).alias("gram")).groupBy("gram").agg(F.count("*").alias("n")))
 R.add("edge_ngrams", "select g as gram, count(*)::bigint as n from (select unnest([substring(p_type, 1, i) for i in range(2, least(length(p_type), 5) + 1)]) as g from part) group by 1")(lambda s, d: table(s, d, "part").select(F.explode(T.edge_ngrams(F.col("p_type"), 2, 5)).alias("gram")).groupBy("gram").agg(F.count("*").alias("n")))
 R.add("analyze_standard")(lambda s, d: _analyzed(s, d, "standard"))
 R.add("analyze_english")(lambda s, d: _analyzed(s, d, "english"))
 R.add("analyze_german")(lambda s, d: _analyzed(s, d, "german"))
-R.add("analyze_all", "select * from (values (59::bigint)) t(analyzers)")(lambda s, d: s.createDataFrame([(len([analyzers.analyzer(n) for n in analyzers.NAMES]),)], "analyzers long"))
+R.add("analyze_all")(lambda s, d: _every_analyzer(s, d))
+
+
+def _every_analyzer(s, d):
+    """(analyzer, term, n): the terms of part names and of the documents' languages under every chain."""
+    names = table(s, d, "part").select(F.col("p_name").alias("x")).union(table(s, d, "documents").select(F.concat_ws(" ", "lang", "source")))
+    chains = {n: analyzers.analyzer(n) for n in analyzers.NAMES}
+
+    @F.pandas_udf("array<struct<analyzer:string,term:string>>")
+    def udf(x: pd.Series) -> pd.Series:
+        return x.map(lambda v: [{"analyzer": n, "term": t} for n, a in chains.items() for t in a.terms(v)])
+
+    return names.select(F.explode(udf("x")).alias("t")).groupBy("t.analyzer", "t.term").agg(F.count("*").alias("n"))
 
 
 def _analyzed(s, d, name):
     a = analyzers.analyzer(name)
-    return table(s, d, "documents").select(F.explode(a.tokens(F.col("text"))).alias("t")).groupBy("t.term").agg(F.count("*").alias("n")).where("n >= 50")
+    return table(s, d, "documents").select(F.explode(a.tokens(F.col("text"))).alias("t")).groupBy("t.term").agg(F.count("*").alias("n"))
 
 
 # --- parsers --------------------------------------------------------------------------------------------

@@ -76,11 +76,8 @@ _REL["overlaps"] = f"({_REL['intersects']} and not {_REL['is_within']} and not {
 for _n, _s in _REL.items():
     R.add(f"bbox_{_n}", f"select doc_id from {_RECT} where {_s}")(lambda s, d, o=_n: _rects(s, d).where(geo.box_relation((F.col("y1"), F.col("x1")), (F.col("y2"), F.col("x2")), (20, 10), (30, 30), o)).select("doc_id"))
 R.add("bbox_overlap_ratio", f"select doc_id, round((w * h / 24.0) * (w * h / 200.0), 6) as ratio from (select doc_id, greatest(0, least(y2, 30) - greatest(y1, 20)) as h, greatest(0, least(x2, 30) - greatest(x1, 10)) as w from {_RECT})")(lambda s, d: _rects(s, d).select("doc_id", F.round(geo.overlap_ratio((F.col("y1"), F.col("x1")), (F.col("y2"), F.col("x2")), (20, 10), (30, 30)), 6).alias("ratio")))
-R.add("geo_shape_relation", f"select doc_id, case when {_REL['is_within']} then 'within' when {_REL['intersects']} then 'intersects' else 'disjoint' end as relation from {_RECT} where not (y1 in (20, 30) or y2 in (20, 30) or x1 in (10, 30) or x2 in (10, 30))")(
-    lambda s, d: _rects(s, d).where("not (y1 in (20, 30) or y2 in (20, 30) or x1 in (10, 30) or x2 in (10, 30))").select("doc_id", geo.shape_relation(F.concat(F.lit("ENVELOPE("), F.concat_ws(",", "x1", "x2", "y2", "y1"), F.lit(")")), "ENVELOPE(10,30,30,20)").alias("relation"))
-)
-# The same over all parts: shapes hold their edges, so that touching is intersecting and a shared edge may be within.
-R.add("geo_shape_relation_all", f"select doc_id, case when {_REL['is_within']} then 'within' when {_REL['contains']} then 'contains' when {_REL['intersects']} then 'intersects' else 'disjoint' end as relation from {_RECT}")(
+# Shapes hold their edges, so that touching is intersecting and a shared edge may be within.
+R.add("geo_shape_relation", f"select doc_id, case when {_REL['is_within']} then 'within' when {_REL['contains']} then 'contains' when {_REL['intersects']} then 'intersects' else 'disjoint' end as relation from {_RECT}")(
     lambda s, d: _rects(s, d).select("doc_id", geo.shape_relation(F.concat(F.lit("ENVELOPE("), F.concat_ws(",", "x1", "x2", "y2", "y1"), F.lit(")")), "ENVELOPE(10,30,30,20)").alias("relation"))
 )
 R.add("geo3d_arc", f"select doc_id from {_PT} where cos(radians(lat)) * cos(radians(lon)) >= cos(0.5)")(lambda s, d: _points(s, d).where(geo.arc_distance(geo.to_xyz(F.col("lat"), F.col("lon")), (1.0, 0.0, 0.0)) <= 0.5).select("doc_id"))

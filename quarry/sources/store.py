@@ -277,6 +277,13 @@ def parallel(*indexes: DataFrame, key: str = "doc_id") -> DataFrame:
     return out
 
 
+def live_values(snapshot: DataFrame, recent: DataFrame, key: str = "doc_id") -> DataFrame:
+    """A snapshot's values by key with what has been written since: `recent` has the same columns and `deleted`."""
+    own = recent.withColumnRenamed(key, "_key")
+    kept = snapshot.join(own.select("_key"), F.col(key) == F.col("_key"), "left_anti")
+    return kept.unionByName(recent.where(~F.coalesce("deleted", F.lit(False))).drop("deleted"))
+
+
 def replicate(store: IndexStore, path: str) -> IndexStore:
     """The newest version's segments copied to another path."""
     other = IndexStore(store.spark, path, store.key)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -62,6 +63,16 @@ class SearcherManager:
         self.leases[newest] = self.store.open(self.fields, newest)
         return True
 
+    def wait_for(self, version: int, seconds: float = 60.0, every: float = 0.05) -> bool:
+        """Refreshes until the snapshot is of a version, or a later one; false if that takes too long."""
+        end = time.monotonic() + seconds
+        while (self.version or 0) < version:
+            if not self.refresh() and (self.version or 0) < version:
+                if time.monotonic() > end:
+                    return False
+                time.sleep(every)
+        return True
+
     def token(self) -> int:
         self.acquire()
         return self.version
