@@ -42,6 +42,14 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def repeatable(df: DataFrame) -> DataFrame:
+    """df in a form that gives the same rows in the same order whenever it is read: checkpointed, unless it is a plain scan."""
+    plan = df._jdf.queryExecution()
+    if plan.optimizedPlan().deterministic() and "Exchange" not in plan.executedPlan().toString():
+        return df
+    return checkpointed(df)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder."""
     return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"

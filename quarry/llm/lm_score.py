@@ -1,11 +1,12 @@
 """Stupid-backoff scores of documents under the n-gram counts of all other documents.
 
-The corpus is cut into blocks of documents as they are read. A block's distinct n-grams go, as
-sorted hashes in packed rows, to the shards of the count tables, which are partitioned by hash.
-A shard adds up the counts of all blocks and joins them back to each block's n-grams in the
-order in which they came; small counts pack well. The block then looks its n-grams up in what
-the shards returned and sums its documents' scores. Only hashes and counts move, once each way,
-and the texts of a block once.
+The corpus is cut into blocks of documents. A block's distinct n-grams, with their counts, go to
+the shards of the count tables, which are partitioned by hash; on the way they are packed, a row
+for each block and shard, as exploded rows would take twice the room. In their shard they are
+exploded to rows (shard, h, block, c), counted over all blocks by hash, and each block's row gets
+the corpus's count. These go back to the block, which sums its documents' scores. A frequent
+n-gram is one row a block, never one an occurrence; packed rows are never more than the rows they
+hold, which grow with the corpus.
 
 S(w | u v) = c(u v w) / c(u v) if c(u v w) > 0, else ALPHA * S(w | v), down to unigrams,
 c(w) / N, and to 1 / N for a word that no other document has. Counts leave out the document's own.
@@ -20,19 +21,20 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import START, binary, mix, released, sequences
+from .common import START, binary, mix, released, repeatable, sequences
 
 ORDER = 3
 ALPHA = 0.4
 #: A block holds documents of about so many bytes.
 BLOCK_BYTES = 12 << 20
-#: A shard of the count tables holds about so many bytes of corpus.
-SHARD_BYTES = 12 << 20
+#: A shard of the count tables holds the n-grams of about so many bytes of corpus, some two millions of rows.
+SHARD_BYTES = 4 << 20
 
 @dataclass
 class Grams:
@@ -89,7 +91,7 @@ def unpack_sorted(data: bytes) -> np.ndarray:
 
 
 class Blocks:
-    """Cuts a task's rows into blocks, in the same way whenever the same input is read."""
+    """Cuts a task's rows into blocks, each with a key of its place and contents: a block that was cut otherwise when the input was read again has no counterpart."""
 
     def __init__(self):
         self.task, self.number = TaskContext.get().partitionId(), 0
@@ -103,16 +105,24 @@ class Blocks:
                 size += n
                 if size >= BLOCK_BYTES:
                     held.append(batch.slice(lo, i + 1 - lo))
-                    yield self._id(), held
+                    yield self._key(held, column), held
                     held, size, lo = [], 0, i + 1
             if lo < batch.num_rows:
                 held.append(batch.slice(lo))
         if held:
-            yield self._id(), held
+            yield self._key(held, column), held
 
-    def _id(self) -> int:
+    def _key(self, held: list[pa.RecordBatch], column: int) -> int:
         self.number += 1
-        return (self.task << 24) + self.number
+        digest = xxhash.xxh64(f"{self.task} {self.number}")
+        for b in held:
+            for t in binary(b.column(column)):
+                digest.update(b"\xff" if t is None else t + b"\xfe")
+        return digest.intdigest() - (1 << 63)
+
+
+def _arrays(columns: dict[str, tuple[list, pa.DataType]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(v, kind) for v, kind in columns.values()], names=list(columns))
 
 
 def score(docs: DataFrame, order: int = ORDER) -> DataFrame:
@@ -122,44 +132,40 @@ def score(docs: DataFrame, order: int = ORDER) -> DataFrame:
     null or wordless text has no words and null scores. Repeated rows are documents of their own,
     each counted for the others. An n-gram's context counts the same positions as the n-gram.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    docs = repeatable(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
+    n_words = F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0))
+    size, tokens = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.coalesce(F.sum(n_words), F.lit(0))).first()
     shards = max(4, -(-size // SHARD_BYTES))
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A block's distinct n-grams in a row for each shard."""
         for block, held in Blocks()(batches, 1):
             h, c = np.unique(Grams.of([t for b in held for t in binary(b.column(1))], order).flat(), return_counts=True)
             cut = np.searchsorted(h, (np.arange(1, shards, dtype=object) * (1 << 64) // shards).astype(np.uint64)) if shards > 1 else np.zeros(0, int)
             edges = [0, *cut.tolist(), len(h)]
-            rows = [(k, block, pack_sorted(h[a:b]), pack(c[a:b])) for k, (a, b) in enumerate(zip(edges, edges[1:], strict=False)) if b > a]
-            for r in rows:
-                yield pa.RecordBatch.from_arrays([pa.array([r[0]], pa.int64()), pa.array([r[1]], pa.int64()), pa.array([r[2]], pa.binary()), pa.array([r[3]], pa.binary())], names=["shard", "block", "hashes", "counts"])
-
-    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A shard's rows stand together: all blocks' hashes are merged, and each block gets its counts."""
-        key, held = None, []
-
-        def solve() -> Iterator[pa.RecordBatch]:
-            own = [unpack_sorted(h) for _, h, _ in held]
-            flat = np.concatenate(own)
-            distinct, at = np.unique(flat, return_inverse=True)
-            total = np.bincount(at, weights=np.concatenate([unpack(c) for _, _, c in held]), minlength=len(distinct)).astype(np.uint64)
-            lo = 0
-            for (block, _, _), h in zip(held, own, strict=True):
-                back = total[at[lo : lo + len(h)]]
-                lo += len(h)
-                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([key], pa.int64()), pa.array([pack(back)], pa.binary())], names=["block", "shard", "counts"])
-            held.clear()
-
-        for batch in batches:
-            for shard, block, h, c in zip(*(x.to_pylist() for x in batch.columns), strict=True):
-                if shard != key:
-                    if held:
-                        yield from solve()
-                    key = shard
-                held.append((block, h, c))
-        if held:
-            yield from solve()
+            for k, (a, b) in enumerate(zip(edges, edges[1:], strict=False)):
+                if b > a:
+                    yield _arrays({"shard": ([k], pa.int64()), "block": ([block], pa.int64()), "hashes": ([pack_sorted(h[a:b])], pa.binary()), "counts": ([pack(c[a:b])], pa.binary())})
+
+    @F.arrow_udf("array<struct<h:bigint,c:bigint>>")
+    def unpacked(hashes: pa.Array, counts: pa.Array) -> pa.Array:
+        h, c = [unpack_sorted(x) for x in hashes.to_pylist()], [unpack(x) for x in counts.to_pylist()]
+        ends = np.cumsum([0, *map(len, h)], dtype=np.int32)
+        flat = [np.concatenate([*x, np.zeros(0, np.uint64)]).view(np.int64) for x in (h, c)]
+        return pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays([pa.array(x) for x in flat], names=["h", "c"]))
+
+    def returned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The counts of a shard for each block, in the order of its n-grams, packed again."""
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        shard, block, h, n = (np.concatenate([b.column(i).to_numpy() for b in held]) for i in range(4))
+        held.clear()
+        at = np.lexsort((h.view(np.uint64), block, shard))
+        shard, block, n = shard[at], block[at], n[at]
+        edges = [*np.flatnonzero((np.diff(block, prepend=block[0] - 1) != 0) | (np.diff(shard, prepend=shard[0]) != 0)).tolist(), len(n)]
+        for a, b in zip(edges, edges[1:], strict=False):
+            yield _arrays({"block": ([int(block[a])], pa.int64()), "shard": ([int(shard[a])], pa.int64()), "counts": ([pack(n[a:b])], pa.binary())})
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, held in Blocks()(batches, 1):
@@ -167,24 +173,28 @@ def score(docs: DataFrame, order: int = ORDER) -> DataFrame:
             with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
                 for b in held:
                     w.write_batch(b)
-            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["block", "texts"])
+            yield _arrays({"block": ([block], pa.int64()), "texts": ([sink.getvalue().to_pybytes()], pa.binary())})
 
-    def last(returned: pa.Table, own: pa.Table) -> pa.Table:
+    def last(back: pa.Table, own: pa.Table) -> pa.Table:
         """A block's counts from all shards and its texts."""
+        if len(own) != 1:
+            raise RuntimeError("the input gave other rows when it was read again")
         table = pa.ipc.open_stream(own["texts"][0].as_buffer()).read_all()
         grams = Grams.of(binary(table["text"].combine_chunks()) if table.num_rows else [], order)
         distinct, at = np.unique(grams.flat(), return_inverse=True)
-        packed = returned.sort_by("shard")["counts"].to_pylist()
-        c = np.concatenate([*map(unpack, packed), np.zeros(0, np.uint64)]).astype(np.int64)
-        assert len(c) == len(distinct), "the input was cut into other blocks when it was read again"
+        c = np.concatenate([*map(unpack, back.sort_by("shard")["counts"].to_pylist()), np.zeros(0, np.uint64)]).astype(np.int64)
+        if len(c) != len(distinct):
+            raise RuntimeError("the input gave other rows when it was read again")
         n = grams.words.tolist()
         s = score_texts(n, at, c, order, tokens)
         per = [x / (k + 1) if k else None for x, k in zip(s, n, strict=True)]
         return pa.table({"doc_id": table["doc_id"], "n_words": pa.array(n, pa.int64()), "score": pa.array(s, pa.float64()), "per_word": pa.array(per, pa.float64())})
 
-    tokens = docs.select(F.sum(F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)))).first()[0] or 0
-    packed = docs.mapInArrow(released(first), "shard long, block long, hashes binary, counts binary")
-    back = packed.repartition(int(shards), "shard").sortWithinPartitions("shard", "block").mapInArrow(released(joined), "block long, shard long, counts binary")
+    packed = docs.mapInArrow(released(first), "shard long, block long, hashes binary, counts binary").repartition(int(shards), "shard")
+    exploded = packed.select("shard", "block", F.explode(unpacked("hashes", "counts")).alias("g")).select("shard", "block", "g.h", "g.c")
+    # The count table and its n-grams lie in one shard: counting and joining the count to each n-gram is one window.
+    counted = exploded.select("shard", "block", "h", F.sum("c").over(Window.partitionBy("h", "shard")).alias("n"))
+    back = counted.mapInArrow(released(returned), "block long, shard long, counts binary")
     whole = docs.mapInArrow(released(texts), "block long, texts binary")
     return back.groupBy("block").cogroup(whole.groupBy("block")).applyInArrow(last, "doc_id long, n_words long, score double, per_word double")
 
