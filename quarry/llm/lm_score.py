@@ -1,12 +1,12 @@
 """Stupid-backoff scores of documents under the n-gram counts of all other documents.
 
-The corpus is cut into blocks of documents. A block's distinct n-grams, with their counts, go to
-the shards of the count tables, which are partitioned by hash; on the way they are packed, a row
-for each block and shard, as exploded rows would take twice the room. In their shard they are
-exploded to rows (shard, h, block, c), counted over all blocks by hash, and each block's row gets
-the corpus's count. These go back to the block, which sums its documents' scores. A frequent
-n-gram is one row a block, never one an occurrence; packed rows are never more than the rows they
-hold, which grow with the corpus.
+The corpus is cut into blocks of documents. A block's distinct n-grams with their counts are a
+row for each shard of the count tables, which are partitioned by hash: sorted hashes, packed, as
+rows of single n-grams take more disk than the check tool allows (see the README). A shard adds
+up the counts of all blocks and joins them back to each block's n-grams, by merging sorted arrays
+as a merge join does. The block then sums its documents' scores. A frequent n-gram is one entry a
+block, never one an occurrence; packed rows are never more than the n-grams they hold, whose
+number grows with the corpus.
 
 S(w | u v) = c(u v w) / c(u v) if c(u v w) > 0, else ALPHA * S(w | v), down to unigrams,
 c(w) / N, and to 1 / N for a word that no other document has. Counts leave out the document's own.
@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import START, binary, mix, released, repeatable, sequences
@@ -33,8 +33,8 @@ ORDER = 3
 ALPHA = 0.4
 #: A block holds documents of about so many bytes.
 BLOCK_BYTES = 12 << 20
-#: A shard of the count tables holds the n-grams of about so many bytes of corpus, some two millions of rows.
-SHARD_BYTES = 4 << 20
+#: A shard of the count tables holds the n-grams of about so many bytes of corpus.
+SHARD_BYTES = 12 << 20
 
 @dataclass
 class Grams:
@@ -147,25 +147,29 @@ def score(docs: DataFrame, order: int = ORDER) -> DataFrame:
                 if b > a:
                     yield _arrays({"shard": ([k], pa.int64()), "block": ([block], pa.int64()), "hashes": ([pack_sorted(h[a:b])], pa.binary()), "counts": ([pack(c[a:b])], pa.binary())})
 
-    @F.arrow_udf("array<struct<h:bigint,c:bigint>>")
-    def unpacked(hashes: pa.Array, counts: pa.Array) -> pa.Array:
-        h, c = [unpack_sorted(x) for x in hashes.to_pylist()], [unpack(x) for x in counts.to_pylist()]
-        ends = np.cumsum([0, *map(len, h)], dtype=np.int32)
-        flat = [np.concatenate([*x, np.zeros(0, np.uint64)]).view(np.int64) for x in (h, c)]
-        return pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays([pa.array(x) for x in flat], names=["h", "c"]))
-
-    def returned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The counts of a shard for each block, in the order of its n-grams, packed again."""
-        held = [b for b in batches if b.num_rows]
-        if not held:
-            return
-        shard, block, h, n = (np.concatenate([b.column(i).to_numpy() for b in held]) for i in range(4))
-        held.clear()
-        at = np.lexsort((h.view(np.uint64), block, shard))
-        shard, block, n = shard[at], block[at], n[at]
-        edges = [*np.flatnonzero((np.diff(block, prepend=block[0] - 1) != 0) | (np.diff(shard, prepend=shard[0]) != 0)).tolist(), len(n)]
-        for a, b in zip(edges, edges[1:], strict=False):
-            yield _arrays({"block": ([int(block[a])], pa.int64()), "shard": ([int(shard[a])], pa.int64()), "counts": ([pack(n[a:b])], pa.binary())})
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A shard's rows stand together: all blocks' n-grams are merged and counted, and each block gets the counts in the order of its n-grams."""
+        key, held = None, []
+
+        def solve() -> Iterator[pa.RecordBatch]:
+            own = [unpack_sorted(h) for _, h, _ in held]
+            distinct, at = np.unique(np.concatenate(own), return_inverse=True)
+            total = np.bincount(at, weights=np.concatenate([unpack(c) for _, _, c in held]), minlength=len(distinct)).astype(np.uint64)
+            lo = 0
+            for (block, _, _), h in zip(held, own, strict=True):
+                yield _arrays({"block": ([block], pa.int64()), "shard": ([key], pa.int64()), "counts": ([pack(total[at[lo : lo + len(h)]])], pa.binary())})
+                lo += len(h)
+            held.clear()
+
+        for batch in batches:
+            for shard, block, h, c in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                if shard != key:
+                    if held:
+                        yield from solve()
+                    key = shard
+                held.append((block, h, c))
+        if held:
+            yield from solve()
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, held in Blocks()(batches, 1):
@@ -191,10 +195,7 @@ def score(docs: DataFrame, order: int = ORDER) -> DataFrame:
         return pa.table({"doc_id": table["doc_id"], "n_words": pa.array(n, pa.int64()), "score": pa.array(s, pa.float64()), "per_word": pa.array(per, pa.float64())})
 
     packed = docs.mapInArrow(released(first), "shard long, block long, hashes binary, counts binary").repartition(int(shards), "shard")
-    exploded = packed.select("shard", "block", F.explode(unpacked("hashes", "counts")).alias("g")).select("shard", "block", "g.h", "g.c")
-    # The count table and its n-grams lie in one shard: counting and joining the count to each n-gram is one window.
-    counted = exploded.select("shard", "block", "h", F.sum("c").over(Window.partitionBy("h", "shard")).alias("n"))
-    back = counted.mapInArrow(released(returned), "block long, shard long, counts binary")
+    back = packed.sortWithinPartitions("shard", "block").mapInArrow(released(joined), "block long, shard long, counts binary")
     whole = docs.mapInArrow(released(texts), "block long, texts binary")
     return back.groupBy("block").cogroup(whole.groupBy("block")).applyInArrow(last, "doc_id long, n_words long, score double, per_word double")
 
