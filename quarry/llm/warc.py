@@ -19,7 +19,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch_path, unit_hash
+from .common import checkpointed, pieces, released, scratch_path, unit_hash
 
 #: Fixed values of the formats: magic numbers of the dictionary's frame, of other skippable frames and of Zstandard's frames and dictionaries.
 DICTIONARY_MAGIC = 0x184D2A5D
@@ -35,6 +35,10 @@ MIN_REVISIT = 1000
 DICTIONARY_BYTES = 64 << 10
 SAMPLE_ROWS = 400
 SAMPLE_ROW_BYTES = 64 << 10
+#: An archive ends with the record that reaches so many bytes.
+ARCHIVE_BYTES = 32 << 20
+#: Digests of repeated payloads, of 60 bytes each, are broadcast up to so many.
+MAX_BROADCAST = 200_000
 #: What separates frames: an empty skippable frame.
 SEPARATOR = struct.pack("<II", SKIPPABLE_MAGIC, 0)
 
@@ -43,6 +47,11 @@ class WarcError(ValueError):
     """An archive that breaks the format."""
 
 
+def record_uuid(page_id: int | str | None, digest: str) -> str:
+    """The id of the record that holds a page's payload: rows with one id and payload are one record told several times."""
+    return str(uuid.uuid5(uuid.NAMESPACE_URL, f"{page_id} {digest}"))
+
+
 def encode_record(kind: str, uri: str | None, record_id: str, payload: bytes, digest: str, refers_to: str | None, fields: dict[str, str]) -> bytes:
     """A record: WARC header, HTTP header and, unless it is a revisit, the payload. digest is a hex SHA-1."""
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
@@ -52,7 +61,7 @@ def encode_record(kind: str, uri: str | None, record_id: str, payload: bytes, di
     head |= {"WARC-Target-URI": (uri or "").replace("\r", "%0D").replace("\n", "%0A"), "Content-Type": "application/http;msgtype=response"}
     head |= {"WARC-Payload-Digest": sha(bytes.fromhex(digest)), "WARC-Block-Digest": sha(hashlib.sha1(block).digest())} | fields
     if kind == "revisit":
-        head |= {"WARC-Profile": PROFILE, "WARC-Refers-To": f"<urn:page:{refers_to}>"}
+        head |= {"WARC-Profile": PROFILE, "WARC-Refers-To": f"<urn:uuid:{record_uuid(refers_to, digest)}>", "WARC-Refers-To-Page-Id": str(refers_to)}
     head["Content-Length"] = str(len(block))
     return b"WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in head.items()).encode() + b"\r\n" + block + b"\r\n\r\n"
 
@@ -170,38 +179,44 @@ def plan_records(pages: DataFrame) -> DataFrame:
     """
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce("html", F.lit("")).alias("html"))
     pages = pages.withColumn("digest", F.sha1(F.col("html").cast("binary")))
-    # Only groups with more than one row are joined back: a small side that AQE may broadcast once it has measured it, or whose hot keys it splits.
+    # Only groups with more than one row are joined back. Few of them are broadcast, and no payload is shuffled; else AQE splits hot digests.
     groups = pages.where(F.octet_length("html") >= MIN_REVISIT).groupBy("digest").agg(F.max("page_id").alias("response"), F.count("*").alias("n")).where("n > 1 and response is not null")
-    joined = pages.join(groups.select(F.col("digest").alias("d"), "response"), (F.col("digest") == F.col("d")) & (F.octet_length("html") >= MIN_REVISIT), "left")
+    groups = checkpointed(groups.select(F.col("digest").alias("d"), "response"))
+    joined = pages.join(F.broadcast(groups) if groups.count() <= MAX_BROADCAST else groups, (F.col("digest") == F.col("d")) & (F.octet_length("html") >= MIN_REVISIT), "left")
     return joined.select("page_id", "url", "html", "digest", F.when(F.coalesce(F.col("page_id"), F.col("response") - 1) < F.col("response"), F.col("response")).alias("refers_to"))
 
 
-def write_archives(pages: DataFrame, path: str) -> None:
-    """One record per row into archives under `path`, of bounded size each. Nulls: an empty payload, an empty URI, an id that reads back as null."""
+def write_archives(pages: DataFrame, path: str, archive_bytes: int = ARCHIVE_BYTES) -> None:
+    """One record per row into archives under `path`, each of `archive_bytes` and one record at most. Nulls: an empty payload, an empty URI, an id that reads back as null."""
     spark = pages.sparkSession
     shared = spark.sparkContext.broadcast(train_dictionary(pages))  # at most DICTIONARY_BYTES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Whole archives."""
         trained = shared.value
         maker = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(trained) if trained else None, write_checksum=True)
-        lead = dictionary_frame(trained)
-        for batch in batches:
-            rows = batch.to_pylist()
-            for lo in range(0, len(rows), 256):
-                frames = [lead] if lead else []
-                lead = b""
-                for r in rows[lo : lo + 256]:
-                    payload = r["html"].encode()
+        frames, size = [], 0
+
+        def archive() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([b"".join([dictionary_frame(trained) if trained else b"", *frames])], pa.binary())], names=["archive"])
+
+        for whole in batches:
+            for batch in pieces(whole):
+                for r in batch.to_pylist():
                     own = {"WARC-Page-Id": "" if r["page_id"] is None else str(r["page_id"])}
-                    record_id = str(uuid.uuid5(uuid.NAMESPACE_URL, f"{r['page_id']} {r['url']} {r['digest']}"))
                     kind = "response" if r["refers_to"] is None else "revisit"
-                    frames.append(maker.compress(encode_record(kind, r["url"], record_id, payload, r["digest"], r["refers_to"], own)))
-                yield pa.RecordBatch.from_arrays([pa.array(frames, pa.binary())], names=["frame"])
+                    record_id = record_uuid(r["page_id"], r["digest"]) if kind == "response" else str(uuid.uuid5(uuid.NAMESPACE_URL, f"{r['page_id']} {r['url']} {r['digest']}"))
+                    frames.append(maker.compress(encode_record(kind, r["url"], record_id, r["html"].encode(), r["digest"], r["refers_to"], own)))
+                    size += len(frames[-1])
+                    if size >= archive_bytes:
+                        yield archive()
+                        frames, size = [], 0
+        if frames:
+            yield archive()
 
-    # A task writes an archive: as large as an input split, or a partition of the join's shuffle.
-    frames = plan_records(pages).mapInArrow(run, "frame binary")
-    # The text sink writes a string's bytes as they are, and the separator after each.
-    frames.select(F.col("frame").cast("string").alias("value")).write.option("lineSep", SEPARATOR.decode("latin-1")).text(path)
+    archives = plan_records(pages).mapInArrow(released(run), "archive binary")
+    # The text sink writes a string's bytes as they are, and the separator, an empty frame, after it; each row is a file of its own.
+    archives.select(F.col("archive").cast("string").alias("value")).write.option("lineSep", SEPARATOR.decode("latin-1")).option("maxRecordsPerFile", 1).text(path)
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
@@ -215,7 +230,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
                 for r in read_archive(data.as_buffer().to_pybytes()):
                     f = r["fields"]
                     revisit = f["warc-type"] == "revisit"
-                    rows.append((int(f["warc-page-id"]) if f.get("warc-page-id") else None, f.get("warc-target-uri"), None if revisit else r["payload"], r["payload_bytes"], r["payload_digest"], f["warc-type"], int(f["warc-refers-to"].removeprefix("<urn:page:").removesuffix(">")) if revisit else None))
+                    rows.append((int(f["warc-page-id"]) if f.get("warc-page-id") else None, f.get("warc-target-uri"), None if revisit else r["payload"], r["payload_bytes"], r["payload_digest"], f["warc-type"], int(f["warc-refers-to-page-id"]) if revisit else None))
                     held += len(r["payload"])
                     if held > 8 << 20:
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
@@ -228,7 +243,12 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
-    """Writes the pages into archives in the shared folder and reads the digests back: one row per page."""
+    """Writes the pages into archives in the shared folder and reads the digests back: one row per page.
+
+    A null html is an empty payload, a null page_id stays null and is nobody's response, repeated
+    rows stay; of equal payloads the largest page_id is the response, and all rows that have it. An
+    empty table gives no rows.
+    """
     path = scratch_path(pages.sparkSession, "warc")
     write_archives(pages, path)
     return read_archives(pages.sparkSession, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
