@@ -35,6 +35,8 @@ FREQUENT = 16
 MAX_FREQUENT = 1 << 20
 #: Around a centre so many sets are compared at once; more are dealt out in pairs of blocks.
 BLOCK = 1500
+#: Tasks that share the sets of one centre when they are joined to its size.
+SALTS = 16
 #: Up to so many ids of sets are broadcast to skip others when sets are read again; beyond, all are read and joined.
 MAX_NEEDED = 2_000_000
 
@@ -266,7 +268,10 @@ def links(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -> DataFram
     """(a, b): links between sets, enough of them to join all that are reachable from each other."""
     kept = checkpointed(blocks(postings(docs, n, percent), percent))
     meet = checkpointed(gatherings(kept, percent))
-    meet = meet.join(meet.groupBy("centre").agg(F.count("*").alias("m")).where("m > 1"), "centre")
+    # Counts by centre, a copy for each salt: a centre with very many sets is joined in as many tasks.
+    salt = F.pmod(F.xxhash64(F.lit("salt"), "s"), F.lit(SALTS)).cast("int")
+    sizes = meet.groupBy("centre").agg(F.count("*").alias("m")).where("m > 1").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    meet = meet.withColumn("salt", salt).join(sizes, ["centre", "salt"]).drop("salt")
     tokens = sets_of(docs, meet.select("s").distinct(), n)
     nb = F.ceil(F.col("m") / BLOCK).cast("int")
     meet = meet.withColumn("side", F.pmod(F.xxhash64("s"), nb).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), nb - 1)))
