@@ -92,38 +92,56 @@ def plan(docs: DataFrame, budget: float = BUDGET, target_entropy: float | None =
     and are taken as often as their place says. Repeated rows are rows of their own. The table
     of sources, which the driver reads, is one row for each source.
     """
-    key = F.coalesce(F.col("source").cast("string"), F.lit("\0"))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), key.alias("source"), n_tokens(F.col("text").cast("string")).alias("n_tokens"))
-    rows = checkpointed(rows)
+    rows, sources = _sources(docs, budget, target_entropy, max_repeats)
+    out = _placed(rows, rows, sources)
+    source = F.when(F.col("source") == "\0", F.lit(None)).otherwise(F.col("source"))
+    return out.select("doc_id", source.alias("source"), "n_tokens", F.coalesce("weight", F.lit(0.0)).alias("weight"), "copies", "block", "place")
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """(doc_id, source, n_tokens, text_hash): what orders rows."""
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("source").cast("string"), F.lit("\0")).alias("source"), n_tokens(text).alias("n_tokens"), F.xxhash64(text).alias("text_hash"))
+
+
+def _sources(docs: DataFrame, budget: float, target_entropy: float | None, max_repeats: float | None) -> tuple[DataFrame, DataFrame]:
+    """The keyed rows, and (source, blocks, weight, passes, rest)."""
+    rows = checkpointed(_keyed(docs))
     sizes = checkpointed(rows.groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("n")))
     deal, _ = source_weights(sizes, budget, target_entropy, max_repeats)
-    spark = docs.sparkSession
-    quotas = spark.createDataFrame([(d["source"], d["weight"], d["quota"] // d["tokens"], d["quota"] % d["tokens"]) for d in deal], "source string, weight double, passes long, rest long")
+    quotas = docs.sparkSession.createDataFrame([(d["source"], d["weight"], d["quota"] // d["tokens"], d["quota"] % d["tokens"]) for d in deal], "source string, weight double, passes long, rest long")
     sources = sizes.join(quotas, "source", "left").select("source", F.greatest(F.lit(1), F.ceil(F.col("n") / BLOCK_ROWS)).alias("blocks"), "weight", "passes", "rest")
-    if sizes.count() <= MAX_BROADCAST:
-        sources = F.broadcast(sources)
-    order = F.xxhash64(F.lit(SEED), "source", "doc_id")
-    rows = rows.join(sources, "source").withColumn("order", order).withColumn("block", F.pmod(F.xxhash64(F.lit(SEED + 1), "source", "doc_id"), F.col("blocks")))
-    totals = rows.groupBy("source", "block").agg(F.sum("n_tokens").alias("t"))
+    # beyond MAX_BROADCAST another plan, with the same result
+    return rows, F.broadcast(sources) if sizes.count() <= MAX_BROADCAST else sources
+
+
+def _placed(rows: DataFrame, keyed: DataFrame, sources: DataFrame) -> DataFrame:
+    """rows, which have the columns of `keyed`, with block, place and copies."""
+
+    def in_blocks(df: DataFrame) -> DataFrame:
+        return df.join(sources, "source").withColumn("block", F.pmod(F.xxhash64(F.lit(SEED + 1), "source", "doc_id", "text_hash"), F.col("blocks")))
+
+    totals = in_blocks(keyed).groupBy("source", "block").agg(F.sum("n_tokens").alias("t"))
     before = Window.partitionBy("source").orderBy(F.xxhash64(F.lit(SEED + 2), "source", "block"), "block")  # one row a block
     base = totals.select("source", "block", (F.sum("t").over(before) - F.col("t")).alias("base"))
-    within = Window.partitionBy("source", "block").orderBy("order", "doc_id", "n_tokens").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = rows.withColumn("upto", F.sum("n_tokens").over(within)).join(base, ["source", "block"])
-    place = F.col("base") + F.col("upto") - F.col("n_tokens")
-    rows = rows.withColumn("place", place)
+    order = F.xxhash64(F.lit(SEED), "source", "doc_id")
+    within = Window.partitionBy("source", "block").orderBy(order, "doc_id", "n_tokens", "text_hash").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    out = in_blocks(rows).withColumn("upto", F.sum("n_tokens").over(within)).join(base, ["source", "block"])
+    out = out.withColumn("place", F.col("base") + F.col("upto") - F.col("n_tokens"))
     copies = F.coalesce(F.col("passes"), F.lit(0)) + F.when(F.col("place") < F.coalesce(F.col("rest"), F.lit(0)), 1).otherwise(0)
-    source = F.when(F.col("source") == "\0", F.lit(None)).otherwise(F.col("source"))
-    return rows.select("doc_id", source.alias("source"), "n_tokens", F.coalesce("weight", F.lit(0.0)).alias("weight"), copies.alias("copies"), "block", "place")
+    return out.withColumn("copies", copies)
 
 
-def mix(docs: DataFrame, **options) -> DataFrame:
+def mix(docs: DataFrame, budget: float = BUDGET, target_entropy: float | None = TARGET_ENTROPY, max_repeats: float | None = MAX_REPEATS) -> DataFrame:
     """The mixed corpus: the documents' own columns with `mix_pass` (from 0), `mix_block` and `mix_place`, one row for each time a document is taken.
 
-    Sorting by source, pass and place gives each source's order. Documents are joined to the plan by id: of rows that share an id each is taken as often as the most taken.
+    Sorting by source, pass and place gives each source's order. Every row, repeated ones
+    included, is taken as often as plan() says of it: rows are dealt to their blocks whole. Nulls
+    and empty texts are as in plan(); an empty table gives an empty one.
     """
     own = without(docs, "mix_pass", "mix_block", "mix_place")
-    taken = plan(docs, **options).where("copies > 0").groupBy("doc_id").agg(F.max("copies").alias("copies"), F.min("block").alias("mix_block"), F.min("place").alias("mix_place"))
-    taken = taken.select(F.col("doc_id").alias("_id"), "copies", "mix_block", "mix_place")
-    joined = own.join(taken, own["doc_id"].eqNullSafe(taken["_id"]))
-    out = joined.withColumn("mix_pass", F.explode(F.sequence(F.lit(0), (F.col("copies") - 1).cast("int"))))
-    return out.select(*own.columns, "mix_pass", "mix_block", "mix_place")
+    keyed, sources = _sources(docs, budget, target_entropy, max_repeats)
+    text = F.col("text").cast("string")
+    rows = own.select(F.struct(*[F.col(f"`{c}`") for c in own.columns]).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("source").cast("string"), F.lit("\0")).alias("source"), n_tokens(text).alias("n_tokens"), F.xxhash64(text).alias("text_hash"))
+    out = _placed(rows, keyed, sources).where("copies > 0")
+    return out.select("row", F.explode(F.expr("sequence(0, cast(copies - 1 as int))")).alias("mix_pass"), F.col("block").alias("mix_block"), F.col("place").alias("mix_place")).select("row.*", "mix_pass", "mix_block", "mix_place")
