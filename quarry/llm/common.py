@@ -12,7 +12,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructType
@@ -241,6 +241,12 @@ def unit_hash(*columns: str):
     return F.pmod(F.xxhash64(*[F.col(c) for c in columns]), F.lit(1 << 30)) / F.lit(float(1 << 30))
 
 
+def window(text: Column, chars: int) -> Column:
+    """A text, or of a longer one so many characters from a place that a hash of doc_id gives."""
+    start = F.pmod(F.xxhash64(F.lit("window"), F.col("doc_id")), F.greatest(F.length(text) - chars, F.lit(0)).cast("long") + 1).cast("int") + 1
+    return F.when(F.length(text) > chars, F.substring(text, start, F.lit(chars))).otherwise(text)
+
+
 def binary(column: pa.Array) -> list[bytes | None]:
     """The UTF-8 bytes of a string column."""
     return column.cast(pa.binary()).to_pylist()

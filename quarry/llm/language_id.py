@@ -17,17 +17,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import binary, map_columns, own_columns, unit_hash, without
+from .common import binary, checkpointed, map_columns, own_columns, unit_hash, window, without
 
 #: Trained on at most about so many characters of each language ...
 SAMPLE_CHARS = 400_000
-#: ... in rows no longer than this ...
+#: ... of a longer row on a window of so many, at a place that a hash of its id gives ...
 SAMPLE_ROW_CHARS = 50_000
 #: ... and on so many in all, shared out if there are very many languages.
 SAMPLE_TOTAL_CHARS = 16_000_000
 MAX_ORDER = 3
-#: The tables of all orders hold at most so many code lengths; beyond, the highest order is left out.
+#: Up to so many code lengths are kept in tables by (context, byte, language); beyond, those that training has seen are searched for. Results are the same.
 MAX_CELLS = 24_000_000
+#: Rates of up to so many languages are broadcast.
+MAX_BROADCAST = 100_000
 UNDETERMINED = "und"
 
 
@@ -68,8 +70,6 @@ class ContextTrees:
             keys = [np.concatenate([[0], i[:-1] * self.size + c[:-1]]) for i, (c, _) in zip(index, coded, strict=True)]
             used = np.unique(np.concatenate([k[ok] for k, (_, ok) in zip(keys, coded, strict=True)] or [np.zeros(0, np.int64)]))
             rows = len(used) + 1
-            if sum(self.rows) * self.size * len(self.langs) + rows * self.size * len(self.langs) > MAX_CELLS:
-                break
             table = np.zeros(self.rows[-1] * self.size, np.int32)
             table[used] = np.arange(1, rows)
             below = [table[k].astype(np.int64) for k in keys]
@@ -81,7 +81,7 @@ class ContextTrees:
             self.parent.append(parent)
             self.rows.append(rows)
             self.counts.append([self._count(i, c, ok) for i, (c, ok) in zip(index, coded, strict=True)])
-        self.order = len(self.next)
+        self.dense = sum(self.rows) * self.size * len(self.langs) <= MAX_CELLS
 
     def _count(self, index: np.ndarray, c: np.ndarray, ok: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return np.unique(index[ok] * self.size + c[ok], return_counts=True)
@@ -108,6 +108,22 @@ class ContextTrees:
             self._tables = np.concatenate(out).reshape(-1, n), first
         return self._tables
 
+    def _searched(self, indexes: list[np.ndarray], c: np.ndarray) -> np.ndarray:
+        """Code lengths in bits by (place, language) of bytes in contexts, of each order, found among what training has seen."""
+        if not hasattr(self, "_seen"):
+            self._seen = [[(cells, counts, *(np.bincount(cells // self.size, weights=w, minlength=self.rows[k]) for w in (counts, None))) for cells, counts in own] for k, own in enumerate(self.counts)]
+        out = np.full((len(c), len(self.langs)), 8.0)
+        for index, own in zip(indexes, self._seen, strict=True):
+            cell = index * self.size + c
+            for j, (cells, counts, total, kinds) in enumerate(own):
+                n, q = total[index], kinds[index]
+                at = np.minimum(np.searchsorted(cells, cell), max(0, len(cells) - 1))
+                hit = cells[at] == cell if len(cells) else np.zeros(len(c), bool)
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    escape = np.where(n > 0, -np.log2(q / (n + q)), 0.0) + out[:, j]
+                    out[:, j] = np.where(hit, -np.log2((counts[at] if len(cells) else 0) / (n + q)), escape)
+        return out
+
     def bits(self, texts: list[bytes]) -> np.ndarray:
         """The code length of each text under each language's tree."""
         out = np.zeros((len(texts), len(self.langs)))
@@ -126,7 +142,7 @@ class ContextTrees:
         return out
 
     def _add(self, out: np.ndarray, rows: list[int], texts: list[bytes]) -> None:
-        cost, first = self.tables()
+        cost, first = self.tables() if self.dense else (None, [])
         d = max(1, self.order)
         lengths = np.array([len(t) for t in texts])
         coded = self.code[np.frombuffer(b"".join(b"\0" * d + t for t in texts), np.uint8)].astype(np.int64)
@@ -137,12 +153,16 @@ class ContextTrees:
         for lo in range(0, len(coded), 1 << 20):  # a very long text goes piece by piece
             hi, back = min(len(coded), lo + (1 << 20)), max(0, lo - d)
             c = coded[back:hi]
-            index = np.zeros(len(c), np.int64)
-            row = index + first[0]
-            for k, table in enumerate(self.next):
-                index = np.concatenate([[0], table[index[:-1] * self.size + c[:-1]]])
-                row = np.where(index > 0, index + first[k + 1], row)
-            each = cost[row * self.size + c]
+            indexes = [np.zeros(len(c), np.int64)]
+            for table in self.next:
+                indexes.append(np.concatenate([[0], table[indexes[-1][:-1] * self.size + c[:-1]]]))
+            if self.dense:
+                row = indexes[0] + first[0]
+                for k, index in enumerate(indexes[1:], 1):
+                    row = np.where(index > 0, index + first[k], row)
+                each = cost[row * self.size + c]
+            else:
+                each = self._searched(indexes, c)
             here = (starts < hi) & (ends > lo)
             for j in np.flatnonzero(here):
                 a, b = max(starts[j] + d, lo) - back, min(ends[j], hi) - back
@@ -159,21 +179,19 @@ def train(docs: DataFrame, order: int = MAX_ORDER, sample_chars: int = SAMPLE_CH
     """Context trees from documents that are not held out and have a language.
 
     A bounded sample, as documented at SAMPLE_CHARS: rows are taken by a hash of their id, at a
-    rate for each language that gives about `sample_chars` characters.
+    rate for each language that gives about `sample_chars` characters; of a long row a window.
     """
-    rows = without(docs, "held_out").where(~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & (F.length("text") <= SAMPLE_ROW_CHARS))
-    rows = rows.select("doc_id", "lang", "text")
-    sizes = {r["lang"]: max(1, r["n"] or 0) for r in rows.groupBy("lang").agg(F.sum(F.length("text")).alias("n")).collect()}
-    each = min(sample_chars, SAMPLE_TOTAL_CHARS // max(1, len(sizes)))
+    rows = without(docs, "held_out").where(~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull() & F.col("lang").isNotNull())
+    rows = rows.select("doc_id", F.col("lang").cast("string").alias("lang"), window(F.col("text"), SAMPLE_ROW_CHARS).alias("text"))
+    sizes = checkpointed(rows.groupBy("lang").agg(F.sum(F.length("text")).alias("n")).where("n > 0"))
+    k = sizes.count()
+    rates = sizes.select(F.col("lang").alias("l"), (F.lit(min(sample_chars, SAMPLE_TOTAL_CHARS // max(1, k))) / F.col("n")).alias("rate"))
+    taken = rows.join(F.broadcast(rates) if k <= MAX_BROADCAST else rates, F.col("lang") == F.col("l")).where(unit_hash("doc_id") < F.col("rate"))
     texts: dict[str, list[bytes]] = {}
-    if sizes:
-        rate = F.lit(0.0)
-        for lang, n in sizes.items():
-            rate = F.when(F.col("lang") == lang, F.lit(min(1.0, each / n))).otherwise(rate)
-        for r in rows.where(unit_hash("doc_id") < rate).orderBy("doc_id", "text").collect():
+    for r in taken.select("doc_id", "lang", "text").orderBy("doc_id", "text").collect():  # about SAMPLE_TOTAL_CHARS at most
+        if r["text"]:
             texts.setdefault(r["lang"], []).append(r["text"].encode())
-    texts = {lang: [t for t in own if t] for lang, own in texts.items()}
-    return ContextTrees({lang: own for lang, own in texts.items() if own}, order)
+    return ContextTrees(texts, order)
 
 
 def predict(docs: DataFrame, model: ContextTrees, keep: list[str] | None = None) -> DataFrame:

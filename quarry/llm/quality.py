@@ -20,9 +20,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import START, HashTable, binary, checkpointed, map_columns, mix, own_columns, pieces, released, sequences, unit_hash
+from .common import START, HashTable, binary, checkpointed, map_columns, mix, own_columns, pieces, released, sequences, unit_hash, window
 
-#: The model is trained on about so many trusted documents, at most half of them, each no longer than TRAIN_CHARS.
+#: The model is trained on about so many trusted documents, at most half of them, of a longer one on a window of TRAIN_CHARS.
 TRAIN_DOCS = 2000
 TRAIN_CHARS = 50_000
 SHARDS = 4
@@ -192,7 +192,7 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[Shards | None, float]:
     n = ids.count()
     rate = min(0.5, TRAIN_DOCS / max(1, n))
     sample = F.broadcast(ids.where(unit_hash("doc_id") < rate))  # about TRAIN_DOCS ids
-    text = docs.where(F.length("text") <= TRAIN_CHARS).join(sample, "doc_id", "left_semi").select("text")
+    text = docs.join(sample, "doc_id", "left_semi").select(window(F.col("text"), TRAIN_CHARS).alias("text"))
     terms = model_terms(text)
     return (Shards(*terms) if terms else None), rate
 

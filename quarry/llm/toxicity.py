@@ -17,13 +17,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binary, map_columns, pieces, released, unit_hash
+from .common import binary, map_columns, pieces, released, unit_hash, window
 
 #: The chain: names and SQL expressions over labels, each 0, 1 or null.
 CATEGORIES = (("low_quality", "1 - quality"), ("toxic", "toxic"))
-#: Trained on about so many labelled rows, each no longer than this ...
+#: Trained on about so many labelled rows, of a longer one on a window of TRAIN_CHARS ...
 TRAIN_DOCS = 12_000
-TRAIN_CHARS = 20_000
+TRAIN_CHARS = 100_000
 #: ... chosen by a hash of the id.
 BITS = 18
 FOLDS = 4
@@ -33,8 +33,6 @@ L2 = 2.0
 EPOCHS = 60
 #: A document is in a category from this probability on.
 CUT = 0.5
-#: What a model multiplies logits of earlier categories by.
-CHAIN_SCALE = 0.5
 
 
 class Buckets(dict):
@@ -92,8 +90,8 @@ class Linear:
 
 
 def _feed(z: np.ndarray) -> np.ndarray:
-    """An earlier category's probability as a feature: its logit, scaled and bounded."""
-    return np.clip(z, -8, 8) * CHAIN_SCALE
+    """An earlier category's probability, from its logit, as a feature of the later ones."""
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
 def fit_chain(rows: np.ndarray, words: np.ndarray, labels: np.ndarray, folds: np.ndarray) -> list[Linear]:
@@ -126,8 +124,8 @@ def train(docs: DataFrame, labels: DataFrame, categories=CATEGORIES) -> list[Lin
     own = labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(*[F.max(F.expr(e).cast("double")).alias(f"y{k}") for k, (_, e) in enumerate(categories)])
     n = own.count()
     sample = F.broadcast(own.where(unit_hash("doc_id") < min(1.0, TRAIN_DOCS / max(1, n))))  # about TRAIN_DOCS rows
-    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.length("text") <= TRAIN_CHARS)
-    joined = text.join(sample, "doc_id")
+    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    joined = text.join(sample, "doc_id").withColumn("text", window(F.col("text"), TRAIN_CHARS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         buckets = Buckets()

@@ -5,6 +5,7 @@ from __future__ import annotations
 import collections
 import hashlib
 import math
+import pathlib
 import random
 import re
 import zlib
@@ -160,6 +161,24 @@ def test_quality(spark, docs, rows, labels, empty):
     assert kept.columns == clash(docs).columns and kept.count() == sum(r["keep"] for r in got)
 
 
+def test_searched_code_lengths_equal_the_tables(monkeypatch):
+    texts = {"a": ["the cat sat on the mat".encode(), b"the hat"], "b": ["der hund läuft".encode()], "c": [b"x"]}
+    dense = language_id.ContextTrees(texts)
+    monkeypatch.setattr(language_id, "MAX_CELLS", 0)
+    sparse = language_id.ContextTrees(texts)
+    assert dense.dense and not sparse.dense and dense.order == sparse.order == language_id.MAX_ORDER
+    some = [b"", b"the mat", "läuft zzz".encode(), b"\xff\x00q", b"the cat " * 50]
+    assert np.allclose(dense.bits(some), sparse.bits(some), rtol=1e-5)
+
+
+def test_languages_of_long_rows_are_learned(spark):
+    rows = [(i, " ".join(random.Random(i).choices(EN, k=60)), "en", "s", 0) for i in range(40)]
+    rows += [(100 + i, " ".join(random.Random(i).choices(DE, k=12_000)), "de", "s", 0) for i in range(4)]
+    model = language_id.train(spark.createDataFrame(rows, DOCS))
+    assert model.langs == ["de", "en"]
+    assert language_id.train(spark.createDataFrame(rows, DOCS).where("false")).langs == []
+
+
 # --- 2 archives --------------------------------------------------------------------------------------
 
 
@@ -185,6 +204,12 @@ def test_warc_format(spark, tmp_path):
     assert data[:4] == (0x184D2A5D).to_bytes(4, "little")
     assert len(list(warc.read_archive(data))) == 60
     back = {r["page_id"]: r["payload"] for r in warc.read_archives(spark, path).collect()}
+    warc.write_archives(df.repartition(1), path + "-small", archive_bytes=500)
+    files = sorted(pathlib.Path(path + "-small").glob("part-*"))
+    assert len(files) > 3 and max(f.stat().st_size for f in files) < 500 + max(len(p or b"") for p in back.values()) + len(warc.dictionary_frame(b"x" * warc.DICTIONARY_BYTES)) + 2000
+    assert {r["page_id"]: r["payload"] for r in warc.read_archives(spark, path + "-small").collect()} == back
+    ids = {r["fields"]["warc-record-id"]: r["fields"] for f in files for r in warc.read_archive(f.read_bytes())}
+    assert all(f["warc-refers-to"] in ids for f in ids.values() if f["warc-type"] == "revisit")
     assert back == {r["page_id"]: r["html"].encode() for r in df.collect()}
 
 
@@ -542,6 +567,24 @@ def test_mixing(spark, docs, rows, empty, block, monkeypatch):
     assert mixing.mix(docs).columns == [*docs.columns, "mix_pass", "mix_block", "mix_place"]
 
 
+def test_mix_takes_rows_not_ids(spark):
+    """Rows that share an id, in one source or two, are taken as often as the plan says of each."""
+    rows = [(i % 40, " ".join(["w"] * (3 + i % 5)) + f" t{i}", "en", "big" if i < 150 else "small", i) for i in range(170)] + [(None, None, None, None, None), (3, "", "en", "big", 1), (3, "", "en", "big", 2)]
+    docs = spark.createDataFrame(rows, DOCS).withColumn("copies", F.lit(7)).withColumn("place", F.lit("x"))
+    got = mixing.mix(docs.repartition(3)).collect()
+    planned = mixing.plan(docs).collect()
+    want = collections.Counter()
+    for r in planned:
+        want[r["doc_id"], r["source"], r["n_tokens"]] += r["copies"]
+    seen = collections.Counter((r["doc_id"], r["source"], len((r["text"] or "").split())) for r in got)
+    assert seen == +want
+    assert all(r["copies"] == 7 and r["place"] == "x" for r in got)
+    passes = collections.defaultdict(set)
+    for r in got:
+        passes[r["n_chars"], r["text"]].add(r["mix_pass"])
+    assert all(p == set(range(len(p))) for p in passes.values())
+
+
 # --- 9 pages ----------------------------------------------------------------------------------------------------
 
 
