@@ -4,9 +4,10 @@ The model is trained on trusted text by joins and aggregations of n-gram count t
 back-off form of the interpolated model, a text's log-probability is a plain sum over its
 n-grams: a unigram brings its own log-probability and its weight as a context, and a longer
 n-gram that the model knows brings the correction against the shorter one and its own weight as
-a context. The table of these terms is sharded by hash and joined shard by shard to the
-n-grams of each batch of documents; each worker holds the shards, whose size is bounded by the
-training sample, so that no text is shuffled.
+a context. Documents are exploded to the hashes of their n-grams, joined to the table of these
+terms by hash, and summed per document. Up to MAX_BROADCAST terms the table is broadcast, so that
+no n-gram is shuffled; beyond, both sides are sharded by hash. A Bloom filter of the terms leaves
+out most n-grams that the model doesn't know before they are exploded.
 
 A document is kept if its perplexity is at most a quantile of trusted text in its language.
 """
@@ -19,13 +20,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from .common import START, HashTable, binary, checkpointed, map_columns, mix, own_columns, pieces, released, sequences, unit_hash, window
+from .common import START, binary, checkpointed, mix, own_columns, pieces, released, sequences, unit_hash, window
 
 #: The model is trained on about so many trusted documents, at most half of them, of a longer one on a window of TRAIN_CHARS.
 TRAIN_DOCS = 2000
 TRAIN_CHARS = 50_000
-SHARDS = 4
+#: Terms of 24 bytes each; the sample's bound keeps to this.
+MAX_BROADCAST = 5_000_000
+#: The filter has 16 bits a term, at most so many in all: a fuller one lets more n-grams pass, never fewer.
+MAX_FILTER_BITS = 1 << 28
 #: A document is kept up to this quantile of the perplexity of trusted documents of its language that the model was not trained on, times MARGIN.
 QUANTILE = 0.98
 MARGIN = 1.25
@@ -119,66 +124,104 @@ def model_terms(trusted: DataFrame) -> tuple[DataFrame, float] | None:
     return out.groupBy("h").agg(F.sum("x").cast("float").alias("x")), unknown
 
 
-class Shards:
-    """A model's terms in broadcast shards by hash."""
+class Filter:
+    """A Bloom filter of 64-bit hashes."""
 
-    def __init__(self, terms: DataFrame, unknown: float):
-        sc = terms.sparkSession.sparkContext
-        self.unknown = unknown
-        self.parts = []
-        terms = checkpointed(terms)
-        for k in range(SHARDS):  # of bounded size: TRAIN_DOCS rows of TRAIN_CHARS characters
-            t = terms.where(F.pmod(F.col("h"), F.lit(SHARDS)) == k).toArrow()
-            h = t["h"].combine_chunks().to_numpy() if len(t) else np.zeros(0, np.int64)
-            self.parts.append(sc.broadcast((h.view(np.uint64), t["x"].combine_chunks().to_numpy() if len(t) else np.zeros(0, np.float32))))
+    def __init__(self, size: int):
+        self.bits = min(MAX_FILTER_BITS, 1 << max(10, (16 * size).bit_length())).bit_length() - 1
+        self.data = np.zeros(1 << (self.bits - 3), np.uint8)
+
+    def _places(self, h: np.ndarray) -> Iterator[np.ndarray]:
+        m = np.uint64((1 << self.bits) - 1)
+        yield h & m
+        yield (h >> np.uint64(64 - self.bits)) ^ (h & np.uint64(0xFFF))
+
+    def add(self, h: np.ndarray) -> None:
+        for p in self._places(h):
+            np.bitwise_or.at(self.data, (p >> np.uint64(3)).astype(np.int64), np.uint8(1) << (p & np.uint64(7)).astype(np.uint8))
 
-    def opened(self) -> list[tuple[HashTable, np.ndarray]]:
-        return [(HashTable(h), np.concatenate([x, np.zeros(1, np.float32)])) for h, x in (p.value for p in self.parts)]
+    def has(self, h: np.ndarray) -> np.ndarray:
+        out = np.ones(len(h), bool)
+        for p in self._places(h):
+            out &= (self.data[(p >> np.uint64(3)).astype(np.int64)] >> (p & np.uint64(7)).astype(np.uint8)) & 1 == 1
+        return out
 
 
-def log_probabilities(texts: list[bytes | None], shards: list[tuple[HashTable, np.ndarray]], unknown: float) -> tuple[np.ndarray, np.ndarray]:
-    """Of each text: its log-probability with its end, and its number of words. Without words it is 0."""
+#: Stands for a document in the table of terms: every document has one, which adds nothing.
+DOCUMENT = 0
+
+
+class Model:
+    """A model's terms (h, x), the log-probability of an unknown word, and the filter of the terms' hashes."""
+
+    def __init__(self, terms: DataFrame, unknown: float):
+        self.unknown = unknown
+        terms = checkpointed(terms)
+        size = terms.count()
+        spark = terms.sparkSession
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            own = Filter(size)
+            for b in batches:
+                own.add(b.column(0).to_numpy().view(np.uint64))
+            yield pa.RecordBatch.from_arrays([pa.array([own.data.tobytes()], pa.binary())], names=["bits"])
+
+        merged = Filter(size)
+        for r in terms.select("h").coalesce(4).mapInArrow(released(run), "bits binary").collect():  # four of at most 32 MB
+            merged.data |= np.frombuffer(r["bits"], np.uint8)
+        self.filter = spark.sparkContext.broadcast(merged)
+        self.terms = terms.union(spark.createDataFrame([(DOCUMENT, 0.0)], "h long, x float"))
+        if size <= MAX_BROADCAST:
+            self.terms = F.broadcast(self.terms)
+
+
+def text_grams(texts: list[bytes | None], known: Filter) -> tuple[list[np.ndarray], np.ndarray]:
+    """Of each text: the hashes of its n-grams of one to three words that pass the filter, DOCUMENT first; and its number of words."""
     s, start, sizes = sequences(texts, 3)
-    out = np.zeros(len(texts))
-    some = sizes > 0
-    if not some.any():
-        return out, sizes
-    begin = start[some]
-    total = np.zeros(len(s))
-    h1 = _hash(1, s)
-    h2 = _hash(2, s[:-1], s[1:])
-    h3 = _hash(3, s[:-2], s[1:-1], s[2:])
-    for n, h in ((1, h1), (2, h2), (3, h3)):
-        part = (h.view(np.int64) % len(shards)).astype(np.int8)
+    some = np.flatnonzero(sizes > 0)
+    begin, parts = start[some], []
+    for n, h in ((1, _hash(1, s)), (2, _hash(2, s[:-1], s[1:])), (3, _hash(3, s[:-2], s[1:-1], s[2:]))) if len(s) else ():
         at = np.arange(len(h)) + n - 1  # where the n-gram ends: within its text, and not at its first place, which is only a context
         ok = np.ones(len(s), bool)
         for k in range(max(1, n - 1)):
             ok[begin + k] = False
-        ok = ok[at]
-        for k, (table, x) in enumerate(shards):
-            own = np.flatnonzero((part == k) & ok)
-            total[at[own]] += x[table.find(h[own])]
-    out[some] = np.add.reduceat(total, begin) + (sizes[some] + 1) * unknown
+        ok = ok[at] & known.has(h)
+        parts.append((h[ok], at[ok]))
+    out = [np.zeros(1, np.uint64)] * len(texts)
+    ends = [np.searchsorted(at, begin) for _, at in parts]
+    for i, j in enumerate(some.tolist()):
+        out[j] = np.concatenate([np.array([DOCUMENT], np.uint64), *(h[e[i] : e[i + 1] if i + 1 < len(some) else len(h)] for (h, _), e in zip(parts, ends, strict=True))])
     return out, sizes
 
 
-def score(docs: DataFrame, model: Shards | None, keep: list[str] | None = None) -> DataFrame:
-    """docs with n_words and perplexity (null without words, or without a model)."""
+def score(docs: DataFrame, model: Model | None, keep: list[str]) -> DataFrame:
+    """The columns `keep` of docs with n_words and perplexity (null without words, or without a model), one row for each row.
 
-    def make():
-        shards = model.opened() if model else []
-
-        def run(text: pa.Array) -> list[pa.Array]:
-            raw = binary(text)
-            if not model:
-                n = np.array([len(t.split()) if t else 0 for t in raw], np.int64)
-                return [pa.array(n), pa.nulls(len(raw), pa.float64())]
-            logp, n = log_probabilities(raw, shards, model.unknown)
-            return [pa.array(n), pa.array(np.exp(np.minimum(-logp / (n + 1), 700)), mask=n == 0)]
+    Rows that are alike in `keep` and text are summed together, and given as many times as there are.
+    """
+    if not model:
+        n = F.coalesce(F.regexp_count(F.col("text"), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
+        return docs.select(*keep, n.alias("n_words"), F.lit(None).cast("double").alias("perplexity"))
+    shared, unknown = model.filter, model.unknown
+    keyed = docs.select(*keep, F.xxhash64("text").alias("key_1"), F.xxhash64(F.lit(1), "text").alias("key_2"), "text")
+    keys = [*keep, "key_1", "key_2"]
+    schema = StructType([*keyed.select(*keys).schema.fields, *StructType.fromDDL("n_words long, grams array<bigint>").fields])
 
-        return run
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in pieces(whole):
+                grams, n = text_grams(binary(batch.column(len(keys))), shared.value)
+                ends = np.cumsum([0, *map(len, grams)], dtype=np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(grams).view(np.int64)))
+                yield pa.RecordBatch.from_arrays([*batch.columns[: len(keys)], pa.array(n.astype(np.int64)), lists], names=schema.names)
 
-    return map_columns(docs, "text", "n_words long, perplexity double", make, keep)
+    rows = keyed.mapInArrow(released(run), schema)
+    joined = rows.select(*keys, "n_words", F.explode("grams").alias("h")).join(model.terms, "h")
+    sums = joined.groupBy(*keys, "n_words").agg(F.sum(F.col("x").cast("double")).alias("x"), F.count(F.when(F.col("h") == DOCUMENT, 1)).alias("copies"))
+    ends = F.col("n_words") + 1
+    logp = (F.col("x") / F.col("copies") + ends * unknown) / ends
+    out = sums.withColumn("perplexity", F.when(F.col("n_words") > 0, F.exp(F.least(-logp, F.lit(700.0)))))
+    return out.withColumn("copy", F.explode(F.expr("sequence(1, cast(copies as int))"))).select(*keep, "n_words", "perplexity")
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
@@ -186,7 +229,7 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
     return labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
 
 
-def train(docs: DataFrame, labels: DataFrame) -> tuple[Shards | None, float]:
+def train(docs: DataFrame, labels: DataFrame) -> tuple[Model | None, float]:
     """A model of a bounded sample of trusted documents, and the rate of the sample: ids whose unit hash is below it are in it."""
     ids = trusted_ids(labels)
     n = ids.count()
@@ -194,7 +237,7 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[Shards | None, float]:
     sample = F.broadcast(ids.where(unit_hash("doc_id") < rate))  # about TRAIN_DOCS ids
     text = docs.join(sample, "doc_id", "left_semi").select(window(F.col("text"), TRAIN_CHARS).alias("text"))
     terms = model_terms(text)
-    return (Shards(*terms) if terms else None), rate
+    return (Model(*terms) if terms else None), rate
 
 
 def thresholds(scored: DataFrame, labels: DataFrame, rate: float) -> tuple[dict[str, float], float | None]:
@@ -228,9 +271,13 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents, with their own columns, that classify() keeps. Scored twice, so that no text is shuffled."""
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
+    """The documents, with their own columns, that classify() keeps. Verdicts are by language and text; texts are shuffled once, to meet them."""
+    lang, text = F.col("lang").cast("string"), F.col("text").cast("string")
+    key = F.struct(F.xxhash64(lang, text).alias("a"), F.xxhash64(F.lit(1), lang, text).alias("b"))
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), lang.alias("lang"), key.alias("key"), text.alias("text"))
     model, rate = train(own, labels)
-    limits = thresholds(checkpointed(score(own, model, ["doc_id", "lang"])), labels, rate)
+    scored = checkpointed(score(own, model, ["doc_id", "lang", "key"]))
+    _, keep = _verdict(*thresholds(scored, labels, rate))
+    good = scored.where(keep).select("key").distinct()
     inner, restore = own_columns(docs, "lang")
-    return restore(score(inner, model).where(_verdict(*limits)[1]))
+    return restore(inner.withColumn("key", key).join(good, "key", "left_semi"))

@@ -138,9 +138,9 @@ def brute_kneser_ney(texts):
 def test_quality_model_is_kneser_ney(spark):
     texts = [t for _, t, *_ in corpus(30, 9) if t and len(t) < 2000]
     p = brute_kneser_ney(texts)
-    model = quality.Shards(*quality.model_terms(spark.createDataFrame([(t,) for t in texts], "text string")))
+    model = quality.Model(*quality.model_terms(spark.createDataFrame([(t,) for t in texts], "text string")))
     tests = [*texts[:5], "the of xyzzy and", "xyzzy", "die und the und"]
-    got = quality.score(spark.createDataFrame(list(enumerate(tests)), "i int, text string"), model).collect()
+    got = quality.score(spark.createDataFrame(list(enumerate(tests)), "i int, text string"), model, ["i"]).collect()
     for r in got:
         s = ["<s>", "<s>", *tests[r["i"]].split(), "</s>"]
         logp = sum(math.log(p(*g)) for g in zip(s, s[1:], s[2:], strict=False))
