@@ -164,10 +164,12 @@ def drill_sideways(hits: DataFrame, filters: dict[str, list], dims: list[str]) -
 
 
 def sampled(hits: DataFrame, dim: str, n: int, seed: int = 0, key: str = "doc_id") -> DataFrame:
-    """(label, count): counts over a sample of n hits, scaled up to all."""
+    """(label, count): counts over a sample of about n hits, taken by a hash of their key, scaled up to all. No more than n hits are all counted."""
     total = hits.count()
-    sample = hits.orderBy(F.xxhash64(F.lit(seed), key)).limit(n) if total > n else hits
-    return counts(sample, dim).select("label", F.round(F.col("count") * (max(total, n) / n if total > n else 1.0)).cast("long").alias("count"))
+    if total <= n:
+        return counts(hits, dim)
+    sample = hits.where(F.pmod(F.xxhash64(F.lit(seed), key), F.lit(1 << 30)) < int((1 << 30) * n / total))
+    return counts(sample, dim).select("label", F.round(F.col("count") * (total / max(1, sample.count()))).cast("long").alias("count"))
 
 
 def histogram(hits: DataFrame, value: str, width: int, max_buckets: int = 1024) -> DataFrame:

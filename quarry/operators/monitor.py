@@ -224,8 +224,10 @@ class Monitor:
         table = spark.createDataFrame(self.anchor_table() or [("", "")], "term string, query string")
         from ..functions.text import ascii_words
 
-        terms = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("t"), F.explode(F.array_append(F.array_distinct(ascii_words(F.col(text))), F.lit(ANY))).alias("term"))
-        cand = terms.join(table, "term").groupBy("doc_id").agg(F.first("t").alias("t"), F.collect_set("query").alias("names"))
+        # Words alone are exploded; a document's text is joined once, if some query may match it.
+        terms = docs.select(F.col(key).alias("doc_id"), F.explode(F.array_append(F.array_distinct(ascii_words(F.col(text))), F.lit(ANY))).alias("term"))
+        names = terms.join(table, "term").groupBy("doc_id").agg(F.collect_set("query").alias("names"))
+        cand = names.join(docs.select(F.col(key).alias("doc_id"), F.col(text).alias("t")), "doc_id")
         queries, analyze = dict(self.queries), self.analyze
 
         def run(batches):
