@@ -19,6 +19,8 @@ from pyspark.sql.types import StructType
 
 #: Texts handled by one vectorised step hold at most about so many bytes (a longer text is a step of its own).
 STEP_BYTES = 1 << 20
+#: Spark's setting for the bytes of an Arrow batch, and its value where the session has none.
+BATCH_CONF, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "8m"
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
@@ -68,6 +70,7 @@ def map_columns(df: DataFrame, column: str, added: str, make: Callable[[], Calla
     arrays. Batches are cut so that one call sees about `step` bytes at most. Only `column` goes to
     the Python worker and only the results come back: all else stays in the JVM.
     """
+    bound_batches()
     new = StructType.fromDDL(added)
     df = without(df, *new.names)
     kept = df.columns if keep is None else keep
@@ -90,8 +93,16 @@ def map_columns(df: DataFrame, column: str, added: str, make: Callable[[], Calla
     return out.select(*[F.col(f"`{c}`") for c in kept], *[F.col(own)[f.name].alias(f.name) for f in new.fields])
 
 
+def bound_batches() -> None:
+    """Bounds Arrow batches by bytes, unless the session does already: batches are else of 10,000 rows, however long."""
+    spark = SparkSession.getActiveSession()
+    if spark and spark.conf.get(BATCH_CONF, None) is None:
+        spark.conf.set(BATCH_CONF, BATCH_BYTES)
+
+
 def released(fn: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
-    """A function of Arrow batches that calls release() at the task's end."""
+    """A function of Arrow batches, of bounded size, that calls release() at the task's end."""
+    bound_batches()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:
