@@ -35,6 +35,8 @@ FREQUENT = 16
 MAX_FREQUENT = 1 << 20
 #: Around a centre so many sets are compared at once; more are dealt out in pairs of blocks.
 BLOCK = 1500
+#: ... and sets of so many shingles in all, on average.
+BLOCK_SHINGLES = 4_000_000
 #: Tasks that share the sets of one centre when they are joined to its size.
 SALTS = 16
 #: Up to so many ids of sets are broadcast to skip others when sets are read again; beyond, all are read and joined.
@@ -146,16 +148,16 @@ def blocks(index: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 
 def gatherings(kept: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(centre, s, own): the sets that meet around each centre; own: the set chose it."""
-    choice = kept.groupBy("s").agg(F.max_by("centre", F.struct("size", "centre")).alias("chosen"))
-    by_list = kept.drop("centre", "size").join(choice, "s")
+    """(centre, s, own, n): the sets that meet around each centre, and their sizes; own: the set chose it."""
+    choice = kept.groupBy("s").agg(F.max_by("centre", F.struct("size", "centre")).alias("chosen"), F.max("n").alias("n_own"))
+    by_list = kept.drop("centre", "size").join(choice.drop("n_own"), "s")
     groups = by_list.groupBy("t", "seg", "chosen").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max("rest").alias("most"))
     need = F.ceil((F.col("n") + F.greatest("lo", F.ceil(F.col("n") * (percent / 100)))) * (percent / (100.0 + percent)) - 1e-6)
     y = kept.select("t", "seg", "s", "n", "rest").join(groups, ["t", "seg"])
     y = y.where((F.col("n") * 100 >= F.col("lo") * percent) & (F.col("n") * percent <= F.col("hi") * 100) & (1 + F.least("rest", "most") >= need))
-    guests = y.select(F.col("chosen").alias("centre"), "s", F.lit(0).alias("own"))
-    own = choice.select(F.col("chosen").alias("centre"), "s", F.lit(1).alias("own"))
-    return guests.union(own).groupBy("centre", "s").agg(F.max("own").alias("own"))
+    guests = y.select(F.col("chosen").alias("centre"), "s", F.lit(0).alias("own"), "n")
+    own = choice.select(F.col("chosen").alias("centre"), "s", F.lit(1).alias("own"), F.col("n_own").alias("n"))
+    return guests.union(own).groupBy("centre", "s").agg(F.max("own").alias("own"), F.max("n").alias("n"))
 
 
 def sets_of(docs: DataFrame, needed: DataFrame, n: int = SHINGLE) -> DataFrame:
@@ -270,10 +272,10 @@ def links(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -> DataFram
     meet = checkpointed(gatherings(kept, percent))
     # Counts by centre, a copy for each salt: a centre with very many sets is joined in as many tasks.
     salt = F.pmod(F.xxhash64(F.lit("salt"), "s"), F.lit(SALTS)).cast("int")
-    sizes = meet.groupBy("centre").agg(F.count("*").alias("m")).where("m > 1").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    sizes = meet.groupBy("centre").agg(F.count("*").alias("m"), F.sum(F.col("n").cast("long")).alias("total")).where("m > 1").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     meet = meet.withColumn("salt", salt).join(sizes, ["centre", "salt"]).drop("salt")
     tokens = sets_of(docs, meet.select("s").distinct(), n)
-    nb = F.ceil(F.col("m") / BLOCK).cast("int")
+    nb = F.ceil(F.greatest(F.col("m") / BLOCK, F.col("total") / BLOCK_SHINGLES)).cast("int")
     meet = meet.withColumn("side", F.pmod(F.xxhash64("s"), nb).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), nb - 1)))
     meet = meet.select("centre", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "s", "own", "side")
 

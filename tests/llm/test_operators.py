@@ -307,8 +307,10 @@ def test_keep_one_keeps_rows_not_ids(spark):
         assert sorted((str(r["doc_id"]), str(r["text"])) for r in got.collect()) == sorted((str(i), str(t)) for i, t in [(3, a), (5, b), (None, c), (7, None), (None, " "), (None, None)])
 
 
-def test_jaccard_blocks(spark, monkeypatch):
-    monkeypatch.setattr(jaccard, "BLOCK", 3)
+@pytest.mark.parametrize("block, shingles", [(3, 4_000_000), (1500, 100)])
+def test_jaccard_blocks(spark, monkeypatch, block, shingles):
+    monkeypatch.setattr(jaccard, "BLOCK", block)
+    monkeypatch.setattr(jaccard, "BLOCK_SHINGLES", shingles)
     monkeypatch.setattr(jaccard, "FREQUENT", 2)
     monkeypatch.setattr(jaccard, "MAX_NEEDED", 0)
     rows = near_rows(7)
