@@ -12,7 +12,7 @@ from ..operators import query as Q
 from ..operators import spans as S
 from ..operators.index import Index
 from ..sources import store
-from .base import TOK, Registry, documents, rounded, table
+from .base import BM25, TOK, Registry, documents, rounded, table
 
 R = Registry()
 
@@ -36,14 +36,20 @@ R.add("span_payload", f"with {TOK} select doc_id, count(*)::bigint as n from tok
 R.add("live_docs", "select count(*)::bigint as n from documents where doc_id % 9 <> 4")(lambda s, d: table(s, d, "documents").withColumn("_deleted", F.col("doc_id") % 9 == 4).where("not _deleted").agg(F.count("*").alias("n")))
 R.add("fuzzy_like_this")(lambda s, d: rounded(Q.FuzzyLikeThis("text", ("stupit", "clowm"), 1).hits(documents(s, d))))
 R.add("classify_knn_fuzzy")(lambda s, d: K.knn_fuzzy(_labelled(s, d), "text", "toxic", ("idiot", "stupit"), 10))
-R.add("classify_knn_document")(lambda s, d: K.knn_document(_labelled(s, d), {"text": (("idiot", "clown", "moron"), 2.0)}, "toxic", 10))
-R.add("classify_bm25_bayes")(lambda s, d: K.bm25_bayes(_labelled(s, d), "text", "toxic", ["idiot", "clown"]))
+_LTOK = TOK.replace("from documents)", "from documents join labels using (doc_id))", 1)
+R.add("classify_knn_document", f"with {_LTOK}, h as (select doc_id, sum({BM25}) as score from s where term in ('idiot', 'clown', 'moron') group by 1), t as (select h.score, toxic from h join labels using (doc_id) order by h.score desc, doc_id limit 10) select toxic as class, round(count(*) * avg(score / (select max(score) from t)) / 10, 6) as score from t group by 1")(
+    # the field's boost cancels out
+    lambda s, d: K.knn_document(_labelled(s, d), {"text": (("idiot", "clown", "moron"), 2.0)}, "toxic", 10).withColumn("score", F.round("score", 6))
+)
+R.add("classify_bm25_bayes", f"with {_LTOK}, c as (select toxic as class, ln(count(*) / (select count(*)::double from documents join labels using (doc_id))) as prior from documents join labels using (doc_id) group by 1), b as (select toxic as class, term, max({BM25}) as m from s join labels using (doc_id) where term in ('idiot', 'clown') group by 1, 2) select class, round(any_value(prior) + sum(ln(greatest(coalesce(m, 0), 1e-6))), 6) as score from c cross join (values ('idiot'), ('clown')) w(term) left join b using (class, term) group by class")(
+    lambda s, d: K.bm25_bayes(_labelled(s, d), "text", "toxic", ["idiot", "clown"]).withColumn("score", F.round("score", 6))
+)
 R.add("classify_evaluation", "with m as (select toxic as a, (quality = 0)::int as p, count(*)::double as c from labels group by 1, 2) select a as class, round(sum(c) filter (a = p) / (select sum(c) from m x where x.p = m.a), 6) as precision, round(sum(c) filter (a = p) / sum(c), 6) as recall from m group by a")(
     lambda s, d: K.evaluation(K.confusion(table(s, d, "labels").withColumn("p", (F.col("quality") == 0).cast("int")), "toxic", "p")).select("class", F.round("precision", 6).alias("precision"), F.round("recall", 6).alias("recall"))
 )
 R.add("drill_down_repeated", "select 0::bigint as n")(lambda s, d: X.drill_down(table(s, d, "part"), [("p_brand", ["Brand#11", "Brand#22"])], any_of=False).agg(F.count("*").alias("n")))
 R.add("index_sorted", "select p_partkey as doc_id from part where p_size between 10 and 12")(lambda s, d: table(s, d, "part").withColumnRenamed("p_partkey", "doc_id").repartitionByRange("p_size").sortWithinPartitions("p_size").where("p_size between 10 and 12").select("doc_id"))
-R.add("feature_field")(lambda s, d: table(s, d, "part").select("p_partkey", store.truncated_feature(F.col("p_retailprice").cast("float")).alias("feature")))
+R.add("feature_field", "select p_partkey, (floor(f / pow(2, floor(log2(f)) - 8)) * pow(2, floor(log2(f)) - 8))::float as feature from (select p_partkey, p_retailprice::float::double as f from part)")(lambda s, d: table(s, d, "part").select("p_partkey", store.truncated_feature(F.col("p_retailprice").cast("float")).alias("feature")))
 R.add("facet_time_histogram", "select strftime(ts, '%Y-%m-%d') as day, count(*)::bigint as n from events group by 1")(lambda s, d: table(s, d, "events").groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(F.count("*").alias("n")))
 
 

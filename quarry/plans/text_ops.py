@@ -151,7 +151,7 @@ R.add("intervals_score", f"with {TOK} select doc_id, round(tf / (tf + 1), 6) as
 
 R.add("highlight_whole", "select doc_id, regexp_replace(text, '\\b(idiot|clown)\\b', '<b>\\1</b>', 'gi') as highlighted from documents where lang = 'en' and regexp_matches(text, '\\b(idiot|clown)\\b', 'i')")(lambda s, d: table(s, d, "documents").where("lang = 'en'").where(F.col("text").rlike(r"(?i)\b(idiot|clown)\b")).select("doc_id", H.mark_all(F.col("text"), ["idiot", "clown"]).alias("highlighted")))
 R.add("highlight_unified")(lambda s, d: table(s, d, "documents").where(F.col("text").contains("idiot")).select("doc_id", H.Highlighter(("idiot", "clown")).column(F.col("text")).alias("highlighted")))
-R.add("highlight_phrase")(lambda s, d: table(s, d, "documents").select("doc_id", F.size(H.Highlighter(phrases=(("of", "the"),)).regions(F.col("text"))).alias("n")))
+R.add("highlight_phrase", f"with {TOK} select doc_id, coalesce(4 * n, 0)::int as n from documents left join (select a.doc_id, count(*) as n from tok a join tok b using (doc_id) where a.term = 'of' and b.term = 'the' and b.pos = a.pos + 1 group by 1) using (doc_id)")(lambda s, d: table(s, d, "documents").select("doc_id", F.size(H.Highlighter(phrases=(("of", "the"),)).regions(F.col("text"))).alias("n")))
 
 # --- suggestions and spelling ----------------------------------------------------------------------------
 
@@ -171,7 +171,7 @@ R.add("suggest_context", "select p_type as term, (sum(p_size) * 2)::double as we
 R.add("suggest_blended", f"with {TOK} select term, avg(w) as weight from (select * from (select term, ttf as w from df where starts_with(term, 'th') order by ttf desc, term limit 10) union all select * from (select term, ttf from df where contains(term, 'the') order by ttf desc, term limit 10)) group by 1 order by 2 desc, 1 limit 10")(lambda s, d: S.blended([S.prefix(_words(s, d), "th"), S.infix(_words(s, d), "the")]))
 R.add("suggest_free_text", f"with {TOK}, b as (select term, lag(term) over (partition by doc_id order by pos) as p from tok), l as (select term, count(*) / (select count(*) from b where p = 'of')::double as w, 1 as m from b where p = 'of' and starts_with(term, 'th') group by 1 union all select term, 0.4 * count(*) / (select count(*) from b)::double, 0 from b where starts_with(term, 'th') group by 1) select term, round(arg_max(w, m), 6) as weight from l group by 1 order by arg_max(w, m) desc, term limit 5")(lambda s, d: S.free_text(documents(s, d).tokens("text"), "of th", 2, 5).withColumn("weight", F.round("weight", 6)))
 R.add("spell_direct", f"with {TOK} select term, df::bigint as df, round(1 - damerau_levenshtein(term, 'stupidd')::double / greatest(length(term), 7), 6) as score from df where starts_with(term, 's') and damerau_levenshtein(term, 'stupidd') <= 4 and abs(length(term) - 7) <= 2 and 1 - damerau_levenshtein(term, 'stupidd')::double / greatest(length(term), 7) >= 0.5 order by 3 desc, 2 desc, 1 limit 5")(lambda s, d: S.direct_spelling(_words(s, d), "stupidd").withColumn("score", F.round("score", 6)))
-R.add("spell_ngram")(lambda s, d: S.ngram_spelling(_words(s, d), "worthles"))
+R.add("spell_ngram", f"with {TOK} select term, round(1 - levenshtein(term, 'worthles') / greatest(length(term), 8)::double, 6) as score from df where term <> 'worthles' and (" + " or ".join(f"contains(term, '{'worthles'[i:i + 3]}')" for i in range(6)) + ") and 1 - levenshtein(term, 'worthles') / greatest(length(term), 8)::double >= 0.5 order by score desc, term limit 5")(lambda s, d: S.ngram_spelling(_words(s, d), "worthles").withColumn("score", F.round("score", 6)))
 R.add("spell_break", f"with {TOK} select a.term as left, b.term as right, least(a.df, b.df)::bigint as df from df a, df b where a.term || b.term = 'theidiot'")(lambda s, d: S.word_breaks(_words(s, d), "theidiot"))
 R.add("spell_combine", f"with {TOK} select term as combined, df::bigint as df, 0 as first, 2 as parts from df where term = 'idiot'")(lambda s, d: S.word_combinations(_words(s, d), ["id", "iot"]))
 

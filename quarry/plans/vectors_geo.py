@@ -67,7 +67,13 @@ R.add("geo_encode", f"select doc_id, least(floor(lat / (180.0 / 4294967296)), 21
 R.add("geo_heatmap", f"select least(floor((90 - lat) / 22.5), 7)::int as row, least(floor((lon + 180) / 22.5), 15)::int as col, count(*)::bigint as count from {_PT} group by 1, 2")(lambda s, d: _points(s, d).groupBy(*[c.alias(n) for c, n in zip(geo.heatmap_cell(F.col("lat"), F.col("lon"), 8, 16), ("row", "col"), strict=True)]).agg(F.count("*").alias("count")))
 R.add("geo_quad_grid", f"select ((least(floor((90 - lat) / 180 * 2), 1) * 2 + least(floor((lon + 180) / 360 * 2), 1))::int)::varchar as cell, count(*)::bigint as count from {_PT} group by 1")(lambda s, d: _points(s, d).groupBy(geo.quad_cell(F.col("lat"), F.col("lon"), 1).alias("cell")).agg(F.count("*").alias("count")))
 R.add("geo_quad_prefix", f"select count(*)::bigint as n from {_PT} where lat > 45 and lon < -90")(lambda s, d: _points(s, d).where(geo.quad_cell(F.col("lat"), F.col("lon"), 6).startswith("00")).agg(F.count("*").alias("n")))
-R.add("geo_geohash")(lambda s, d: _points(s, d).groupBy(geo.geohash(F.col("lat"), F.col("lon"), 3).alias("cell")).agg(F.count("*").alias("count")))
+def _bit(k: int) -> str:
+    """The k-th bit of a point's geohash of three characters: longitude's 8 and latitude's 7 bits in turn."""
+    return f"(x >> {7 - k // 2}) % 2" if k % 2 == 0 else f"(y >> {6 - k // 2}) % 2"
+
+
+_CHARS = " || ".join(f"substring('{geo.BASE32}', (" + " + ".join(f"{16 >> k} * ({_bit(5 * i + k)})" for k in range(5)) + " + 1)::bigint, 1)" for i in range(3))
+R.add("geo_geohash", f"select {_CHARS} as cell, count(*)::bigint as count from (select least(floor((lon + 180) / 360 * 256), 255)::bigint as x, least(floor((lat + 90) / 180 * 128), 127)::bigint as y from {_PT}) group by 1")(lambda s, d: _points(s, d).groupBy(geo.geohash(F.col("lat"), F.col("lon"), 3).alias("cell")).agg(F.count("*").alias("count")))
 _RECT = "(select p_partkey as doc_id, p_size as y1, p_size + 4 as y2, p_partkey % 50 as x1, p_partkey % 50 + 6 as x2 from part)"
 _REL = {"intersects": "(y1 <= 30 and y2 >= 20 and x1 <= 30 and x2 >= 10)", "is_within": "(y1 >= 20 and y2 <= 30 and x1 >= 10 and x2 <= 30)", "contains": "(y1 <= 20 and y2 >= 30 and x1 <= 10 and x2 >= 30)"}
 _REL["is_disjoint_to"] = f"not {_REL['intersects']}"
