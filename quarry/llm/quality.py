@@ -37,6 +37,9 @@ MARGIN = 1.25
 #: A language with fewer trusted documents uses the quantile of all languages.
 MIN_TRUSTED = 30
 
+#: Tasks that share the copies of one text when they meet its verdict.
+SALTS = 8
+
 SCHEMA = "h3 long, h_uv long, h_vw long, h_v long, h_w long, starts boolean, c long"
 
 
@@ -278,6 +281,8 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     model, rate = train(own, labels)
     scored = checkpointed(score(own, model, ["doc_id", "lang", "key"]))
     _, keep = _verdict(*thresholds(scored, labels, rate))
-    good = scored.where(keep).select("key").distinct()
-    inner, restore = own_columns(docs, "lang")
-    return restore(inner.withColumn("key", key).join(good, "key", "left_semi"))
+    # The copies of one text meet its verdict in several tasks.
+    good = scored.where(keep).select("key").distinct().withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    inner, restore = own_columns(docs, "lang", "doc_id")
+    salted = inner.withColumns({"key": key, "salt": F.pmod(F.xxhash64(F.lit("salt"), F.col("doc_id").cast("string")), F.lit(SALTS)).cast("int")})
+    return restore(salted.join(good, ["key", "salt"], "left_semi"))
