@@ -39,9 +39,18 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df written to the checkpoint folder, with its lineage cut: a lost executor loses nothing."""
+    """df written to the checkpoint folder, with its lineage cut: a lost executor loses nothing, and the shuffles that led to it are given up."""
     checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    del df
+    forget_shuffles(out.sparkSession)
+    return out
+
+
+def forget_shuffles(spark: SparkSession) -> None:
+    """Lets Spark delete the files of shuffles that no plan refers to any more: it does so when the driver collects garbage, which may else be long after."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def repeatable(df: DataFrame) -> DataFrame:

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import HashTable, binary, checkpointed, connected_components, map_columns, ngram_hashes, pieces, released, word_hashes
+from .common import HashTable, binary, checkpointed, connected_components, forget_shuffles, map_columns, ngram_hashes, pieces, released, word_hashes
 
 SHINGLE = 4
 #: Two sets link when 100 * intersection >= PERCENT * union.
@@ -96,6 +96,8 @@ def frequent(docs: DataFrame, n: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]
         left, least = left - r["k"], r["least"]
     table = counts.where(F.col("c") >= least).toArrow() if least else None
     counts.unpersist()
+    del counts
+    forget_shuffles(docs.sparkSession)
     if table is None:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     return table["t"].combine_chunks().to_numpy().view(np.uint64), table["c"].combine_chunks().to_numpy()
