@@ -1,12 +1,16 @@
-"""Vector search: exact nearest neighbours, thresholds, diversity and hashing by angle."""
+"""Vector search: exact nearest neighbours, thresholds, diversity, hashing by angle and inverted lists."""
 
 from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from ..functions import vectors as V
 from .collect import top
@@ -74,3 +78,75 @@ def approximate(docs: DataFrame, vector: str, query: Sequence[float], k: int, pl
 
 #: Giving up early on a graph's walk has no counterpart where every vector is read: the exact search.
 patience = knn
+
+
+@dataclass(frozen=True)
+class Lists:
+    """An inverted file of vectors: every row in the list of its nearest centre, in Parquet partitioned by list.
+
+    Centres are fitted on at most `sample` rows, taken by a hash of the key; all rows are in a
+    list. A list's radius is the largest distance of its vectors to its centre, so that no vector
+    of it is nearer to a query than the centre's distance less the radius: search() with probes
+    reads that many lists, nearest centres first, exact() reads on until that bound excludes the rest.
+    """
+
+    docs: DataFrame
+    centres: list[list[float]]
+    radius: dict[int, float]
+    vector: str
+    key: str
+
+    @classmethod
+    def build(cls, docs: DataFrame, path: str, vector: str, key: str = "doc_id", lists: int = 32, sample: int = 20_000, rounds: int = 10) -> Lists:
+        spark = docs.sparkSession
+        rows = docs.where(F.col(vector).isNotNull()).select(F.col(key), F.col(vector).cast("array<double>").alias(vector))
+        total = rows.count()
+        some = rows.where(F.pmod(F.xxhash64(key), F.lit(1 << 30)) < int((1 << 30) * min(1.0, sample / max(1, total)))).orderBy(key).toPandas()  # about `sample` rows
+        centres = _fitted(np.array(some[vector].tolist(), float), lists, rounds)
+
+        @F.pandas_udf("struct<list:int,far:double>")
+        def nearest(v: pd.Series) -> pd.DataFrame:
+            x = np.array(v.tolist(), float).reshape(len(v), centres.shape[1])
+            d = np.sqrt(np.maximum(0, (x**2).sum(1)[:, None] + (centres**2).sum(1)[None] - 2 * x @ centres.T))
+            return pd.DataFrame({"list": d.argmin(1).astype(np.int32), "far": d.min(1)})
+
+        rows.withColumn("_at", nearest(vector)).select(key, vector, "_at.list", "_at.far").repartition("list").write.partitionBy("list").parquet(path)
+        stored = spark.read.schema(StructType([*rows.schema.fields, StructField("far", DoubleType()), StructField("list", IntegerType())])).parquet(path)
+        radius = {r["list"]: r["far"] for r in stored.groupBy("list").agg(F.max("far").alias("far")).collect()}  # one row a list
+        return cls(stored, centres.tolist(), radius, vector, key)
+
+    def _order(self, query: Sequence[float]) -> list[tuple[float, int]]:
+        """(distance of the centre, list) of lists that hold rows, by distance."""
+        return sorted((math.dist(query, c), i) for i, c in enumerate(self.centres) if i in self.radius)
+
+    def search(self, query: Sequence[float], k: int, probes: int) -> DataFrame:
+        """(doc_id, score) of the k nearest in the `probes` lists of the nearest centres, by Euclidean similarity. Other lists' files aren't read."""
+        chosen = [i for _, i in self._order(query)[:probes]]
+        return knn(self.docs.where(F.col("list").isin(*chosen)), self.vector, query, k, key=self.key)
+
+    def reached(self, query: Sequence[float], k: int, first: int = 4) -> list[int]:
+        """The lists that may hold one of the k nearest: what the `first` give bounds the distance of the k-th."""
+        order = self._order(query)
+        kth = self.search(query, k, first).agg(F.count("*"), F.min("score")).first()
+        most = math.inf if kth[0] < k else math.sqrt(max(0.0, 1 / kth[1] - 1))  # similarity is 1 / (1 + distance squared)
+        return [i for d, i in order if d - self.radius[i] <= most + 1e-9]
+
+    def exact(self, query: Sequence[float], k: int, first: int = 4) -> DataFrame:
+        """The k nearest of all; lists that can't hold one aren't read."""
+        return knn(self.docs.where(F.col("list").isin(*self.reached(query, k, first))), self.vector, query, k, key=self.key)
+
+
+def _fitted(x: np.ndarray, lists: int, rounds: int) -> np.ndarray:
+    """Centres by Lloyd's rounds from far-apart rows."""
+    if not len(x):
+        return np.zeros((1, 0))
+    centres, far = [x[0]], ((x - x[0]) ** 2).sum(1)
+    while len(centres) < min(lists, len(x)):
+        centres.append(x[far.argmax()])
+        far = np.minimum(far, ((x - centres[-1]) ** 2).sum(1))
+    c = np.array(centres)
+    for _ in range(rounds):
+        own = ((c**2).sum(1)[None] - 2 * x @ c.T).argmin(1)
+        for i in np.unique(own):
+            c[i] = x[own == i].mean(0)
+    return c

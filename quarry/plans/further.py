@@ -237,6 +237,13 @@ _Q = [0.1] * 64
 _KNN = "select vec_id as doc_id, round(1 / (1 + list_sum([(x - 0.1) * (x - 0.1) for x in embedding::double[]])), 6) as score from embeddings order by 1 / (1 + list_sum([(x - 0.1) * (x - 0.1) for x in embedding::double[]])) desc, vec_id limit 10"
 R.add("knn_seeded", _KNN)(lambda s, d: rounded(K.seeded(table(s, d, "embeddings"), "embedding", _Q, 10, F.col("vec_id") < 50, key="vec_id")))
 
+@R.add("knn_lists", _KNN)
+def _knn_lists(s, d):
+    """Exact search over an inverted file."""
+    lists = K.Lists.build(table(s, d, "embeddings"), store.scratch_path(s, "lists"), "embedding", "vec_id", 16)
+    return rounded(lists.exact(_Q, 10))
+
+
 # --- stored queries, streams and stores ---------------------------------------------------------------------------------------
 
 
