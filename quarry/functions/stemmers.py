@@ -8,6 +8,7 @@ from collections.abc import Callable
 
 import regex
 
+from . import snowball
 from .analysis import FILTERS, TokenFilter, each_term
 
 VOWELS = "aeiou"
@@ -243,6 +244,15 @@ def dictionary_filter(table: dict[str, str | list[str]]) -> TokenFilter:
 
 for _name in STEMMERS:
     FILTERS[f"{_name}_stem"] = functools.partial(stem_filter, _name)
-FILTERS["snowball"] = lambda language="english": stem_filter({"english": "porter"}.get(language, language if language in STEMMERS else f"{language}_light"))
+for _name, _fn in snowball.STEMMERS.items():
+    STEMMERS[f"snowball_{_name}"] = _fn
+
+
+def snowball_filter(language: str = "english") -> TokenFilter:
+    """The Snowball stemmer of a language; `porter` is the older one of English. Others have the language's suffix table."""
+    return stem_filter(next(n for n in (f"snowball_{language}", language, f"{language}_light") if n in STEMMERS))
+
+
+FILTERS["snowball"] = snowball_filter
 FILTERS["hunspell"] = hunspell_filter
 FILTERS["morfologik"] = FILTERS["dictionary_lemmas"] = FILTERS["opennlp_lemmatizer"] = dictionary_filter
