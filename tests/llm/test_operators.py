@@ -161,6 +161,25 @@ def test_quality(spark, docs, rows, labels, empty):
     assert kept.columns == clash(docs).columns and kept.count() == sum(r["keep"] for r in got)
 
 
+def test_quality_learns_from_a_window_of_long_texts(spark, monkeypatch):
+    monkeypatch.setattr(quality, "TRAIN_CHARS", 300)
+    r = random.Random(4)
+    rows = [(i, " ".join(r.choices(EN, k=2000)), "en", "s", 0) for i in range(80)] + [(100, " ".join(f"zz{i}" for i in range(500)), "en", "s", 0)]
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(80)], "doc_id long, quality int, toxic int")
+    model, rate = quality.train(spark.createDataFrame(rows, DOCS), labels)
+    assert model and rate == 0.5
+    by = {x["doc_id"]: x for x in quality.classify(spark.createDataFrame(rows, DOCS), labels).collect()}
+    assert sum(x["keep"] for x in by.values()) >= 78 and by[100]["perplexity"] > 2 * by[1]["perplexity"] and not by[100]["keep"]
+
+
+def test_filter_has_all_that_was_added():
+    r = np.random.default_rng(1)
+    h = r.integers(0, 1 << 63, 20_000).astype(np.uint64) * np.uint64(2)
+    f = quality.Filter(len(h))
+    f.add(h)
+    assert f.has(h).all() and f.has(h + np.uint64(1)).mean() < 0.05
+
+
 def test_searched_code_lengths_equal_the_tables(monkeypatch):
     texts = {"a": ["the cat sat on the mat".encode(), b"the hat"], "b": ["der hund läuft".encode()], "c": [b"x"]}
     dense = language_id.ContextTrees(texts)
@@ -410,7 +429,28 @@ def test_toxicity(spark, empty):
     assert sum(by[i]["toxic"] == (i % 4 == 0) for i in held) > 0.95 * 200
     assert not by[9000]["toxic"] and by[9000]["p_toxic"] == 0 and by[9001]["p_toxic"] == 0 and by[9002]["toxic"]
     assert toxicity.classify(empty, lab).count() == 0
-    assert not any(x["toxic"] for x in toxicity.classify(d.where("doc_id < 50"), lab.where("false")).collect() if x["p_toxic"] < 0.5)
+    none = toxicity.classify(d.where("doc_id < 50"), lab.where("false")).collect()
+    assert len(none) == 50 and all(x["p_toxic"] <= 0.5 for x in none) and len({x["toxic"] for x in none}) == 1  # nothing is told apart
+
+
+def test_toxicity_of_long_and_repeated_rows(spark):
+    r = random.Random(9)
+    rows, labels = [], []
+    for i in range(400):
+        w = [r.choice(EN) for _ in range(30)] + (["vile", "scum"] if i % 4 == 0 else [])
+        rows.append((i, " ".join(w), "en", "s", 0))
+        labels.append((i, 1, int(i % 4 == 0)))
+    long_ = " ".join(r.choices(EN, k=200_000))
+    rows += [(500, long_, "en", "s", 0), (500, long_, "en", "s", 0), (501, long_ + " vile scum vile scum", "en", "s", 0), (0, rows[0][1], "en", "s", 0), (0, rows[1][1], "en", "s", 0)]
+    labels += [(500, 1, 0), (0, 1, 1), (0, 1, 0)]  # of several labels of one id the largest counts
+    d, lab = spark.createDataFrame(rows, DOCS), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    got = toxicity.classify(d, lab).collect()
+    assert len(got) == len(rows)
+    by = collections.defaultdict(list)
+    for x in got:
+        by[x["doc_id"]].append(x)
+    assert by[500][0] == by[500][1] and not by[500][0]["toxic"] and by[501][0]["p_toxic"] > by[500][0]["p_toxic"]
+    assert sorted(x["toxic"] for x in by[0]) == [False, True, True]  # two copies of one text, and another under the same id
 
 
 def test_chain_uses_earlier_categories():
