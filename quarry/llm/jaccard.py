@@ -272,6 +272,8 @@ def links(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -> DataFram
     """(a, b): links between sets, enough of them to join all that are reachable from each other."""
     kept = checkpointed(blocks(postings(docs, n, percent), percent))
     meet = checkpointed(gatherings(kept, percent))
+    del kept
+    forget_shuffles(docs.sparkSession)  # and the checkpoint of the index
     # Counts by centre, a copy for each salt: a centre with very many sets is joined in as many tasks.
     salt = F.pmod(F.xxhash64(F.lit("salt"), "s"), F.lit(SALTS)).cast("int")
     sizes = meet.groupBy("centre").agg(F.count("*").alias("m"), F.sum(F.col("n").cast("long")).alias("total")).where("m > 1").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
