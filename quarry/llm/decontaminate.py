@@ -107,7 +107,9 @@ class Items:
 def find(items: Items, docs: list[list[bytes]], spans: bool = False) -> tuple[list[np.ndarray], list[set], list[tuple]]:
     """For each document which words are hit and which items (numbers) occur; with `spans`, also the
     longest verbatim matches (document, word, item, word, length) of every item suffix of a window's length or more."""
-    hit = [np.zeros(len(d), bool) for d in docs]
+    first = np.cumsum([0, *map(len, docs)])
+    flat = np.zeros(first[-1], bool)
+    hit = np.split(flat, first[1:-1]) if docs else []  # views of flat
     found: list[set] = [set() for _ in docs]
     longest: list[tuple] = []
     if not len(items.starts):
@@ -134,11 +136,11 @@ def find(items: Items, docs: list[list[bytes]], spans: bool = False) -> tuple[li
     for s in np.flatnonzero(high > low):
         own, size = int(items.owner[items.starts[s]]), int(items.sizes[s])
         at = place[array.order[low[s] : high[s]]]
-        for d in np.unique(at >> 32):
+        for d in np.unique(at >> 32).tolist():
             found[d].add(own)
-            p = at[(at >> 32) == d] & 0xFFFFFFFF
-            for k in range(size):
-                hit[d][p + k] = True
+        begin = first[at >> 32] + (at & 0xFFFFFFFF)
+        for k in range(size):
+            flat[begin + k] = True
         if spans:  # the longest match is among the suffixes of the window's range
             for e in array.order[low[s] : high[s]]:
                 n, most = size, int(items.left[items.starts[s]])
