@@ -270,8 +270,8 @@ def _event_stream(s, d):
     return rows.withColumn("ts", F.col("ts").cast("timestamp"))  # watermarks need one
 
 
-def _drained(s, stream, name: str, mode: str = "complete"):
-    out = streaming.run_available(stream, f"{name}_{abs(hash(store.scratch_path(s, name))) % 10**12}", store.scratch_path(s, name), mode)
+def _drained(s, stream, name: str):
+    out = streaming.run_complete(stream, store.scratch_path(s, name), store.scratch_path(s, name))
     return out.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("start", "stop") if c in out.columns})
 
 

@@ -132,3 +132,16 @@ def run_available(stream: DataFrame, name: str, checkpoint: str, mode: str = "ap
     q = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.table(name)
+
+
+def run_complete(stream: DataFrame, out: str, checkpoint: str) -> DataFrame:
+    """The whole result of an aggregation over all that a stream has now, written by the executors to the shared folder `out`: a memory table would hold it in the driver."""
+    spark: SparkSession = stream.sparkSession
+    written = []
+
+    def run(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(out)
+        written.append(number)
+
+    stream.writeStream.foreachBatch(run).outputMode("complete").option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(out) if written else spark.createDataFrame([], stream.schema)
