@@ -10,13 +10,13 @@ from pyspark.sql import functions as F
 from .collect import SCORE, By, sort
 
 
-def first_pass(hits: DataFrame, group: str, n: int, keys: list[By] | None = None, offset: int = 0) -> DataFrame:
-    """(group, rank): the n groups with the best best hit. One aggregation per group, then a top-n."""
+def first_pass(hits: DataFrame, group: str, n: int, keys: list[By] | None = None, offset: int = 0, tie: str = "doc_id") -> DataFrame:
+    """(group, rank): the n groups with the best best hit, ties by that hit's `tie`. One aggregation per group, then a top-n."""
     keys = keys or [SCORE]
     w = Window.partitionBy(group).orderBy(*[b.order() for b in keys], F.asc("doc_id"))
     heads = hits.where(F.col(group).isNotNull()).withColumn("_r", F.row_number().over(w)).where("_r = 1")
-    best = sort(heads, keys, n, offset)
-    order = Window.partitionBy(F.lit(1)).orderBy(*[b.order() for b in keys], F.asc("doc_id"))  # of n rows
+    best = sort(heads, [*keys, By(F.col(tie))], n, offset)
+    order = Window.partitionBy(F.lit(1)).orderBy(*[b.order() for b in keys], F.asc(tie), F.asc("doc_id"))  # of n rows
     return best.select(F.col(group), F.row_number().over(order).alias("rank"))
 
 
@@ -32,8 +32,8 @@ def grouped(hits: DataFrame, group: str, n: int, per_group: int, group_sort: lis
 
 
 def block_grouped(children: DataFrame, parent: str, n: int, per_group: int, keys: list[By] | None = None) -> DataFrame:
-    """grouped() of blocks: rows that were indexed with their parent's id. A block is a group even if it has one row."""
-    return grouped(children, parent, n, per_group, keys, keys)
+    """grouped() of blocks: rows that were indexed with their parent's id. A block is a group even if it has one row. A child's doc_id counts within its block, so ties of blocks go to the smaller parent."""
+    return second_pass(children, first_pass(children, parent, n, keys, tie=parent), parent, per_group, keys)
 
 
 def all_groups(hits: DataFrame, group: str) -> DataFrame:

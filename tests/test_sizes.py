@@ -12,3 +12,11 @@ def test_sessions_stay_out_of_the_driver(spark, tmp_path):
     got = catalog.QUERIES["event_stream_sessions"](spark, str(tmp_path))
     assert got.inputFiles()
     assert sorted((r["user_id"], f"{r['start']:%H:%M}", f"{r['stop']:%H:%M}", r["count"]) for r in got.collect()) == [(1, "00:00", "00:40", 2), (1, "01:00", "01:30", 1), (2, "00:05", "00:35", 1), (3, "23:00", "23:30", 1)]
+
+
+def test_tied_blocks_by_parent(spark, tmp_path):
+    """Orders whose best prices are equal: the smaller order first, whatever its best line's number."""
+    rows = [(k, line, p) for k in range(1, 9) for line, p in ((9 - k, 50.0), (9 - k, 50.0), (20, 7.0))]
+    spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_extendedprice double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = [tuple(r) for r in catalog.QUERIES["block_grouping"](spark, str(tmp_path)).select("parent", "doc_id", "score", "rank", "place").collect()]
+    assert sorted(got) == [(k, 9 - k, 50.0, k, place) for k in range(1, 6) for place in (1, 2)]
