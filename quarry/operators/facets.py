@@ -163,8 +163,13 @@ def drill_sideways(hits: DataFrame, filters: dict[str, list], dims: list[str]) -
     return hits.select(entries).where("e is not null and e.label is not null").groupBy("e.dim", "e.label").agg(F.count("*").alias("count"))
 
 
-def sampled(hits: DataFrame, dim: str, n: int, seed: int = 0, key: str = "doc_id") -> DataFrame:
-    """(label, count): counts over a sample of about n hits, taken by a hash of their key, scaled up to all. No more than n hits are all counted."""
+def sampled(hits: DataFrame, dim: str, n: int, seed: int = 0, key: str = "doc_id", exact: bool = False) -> DataFrame:
+    """(label, count): counts over a sample of about n hits, taken by a hash of their key, scaled up to all. No more than n hits are all counted.
+
+    exact: an estimate for more than n hits won't do; the counts are those of all hits, in one pass.
+    """
+    if exact:
+        return counts(hits, dim)
     total = hits.count()
     if total <= n:
         return counts(hits, dim)

@@ -20,3 +20,9 @@ def test_tied_blocks_by_parent(spark, tmp_path):
     spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_extendedprice double").write.parquet(f"{tmp_path}/lineitem.parquet")
     got = [tuple(r) for r in catalog.QUERIES["block_grouping"](spark, str(tmp_path)).select("parent", "doc_id", "score", "rank", "place").collect()]
     assert sorted(got) == [(k, 9 - k, 50.0, k, place) for k in range(1, 6) for place in (1, 2)]
+
+
+def test_more_parts_than_the_sample_are_counted(spark, tmp_path):
+    spark.range(1_200_007).selectExpr("id p_partkey", "concat('Brand#', id % 7) p_brand").write.parquet(f"{tmp_path}/part.parquet")
+    got = {r["label"]: r["count"] for r in catalog.QUERIES["facet_sampling"](spark, str(tmp_path)).collect()}
+    assert got == {f"Brand#{i}": 1_200_007 // 7 + (i < 1_200_007 % 7) for i in range(7)}
