@@ -19,10 +19,15 @@ def _translate(pairs: str, drop: str = ""):
     return lambda s: s.translate(t)
 
 
+_GERMAN = _table("äa öo üu")
+_GERMAN_E = regex.compile(r"(?<![aeiouq])ue|(?<=^|[^aeiou])(?:ae|oe)")
+
+
 def german(s: str) -> str:
     """Umlauts and their spellings with e to plain vowels, except after q or a vowel; sharp s to ss."""
-    s = s.replace("ß", "ss").translate(_table("äa öo üu"))
-    return regex.sub(r"(?<![aeiouq])ue|(?<=^|[^aeiou])(?:ae|oe)", lambda m: m[0][0], s)
+    if not s.isascii():
+        s = s.replace("ß", "ss").translate(_GERMAN)
+    return _GERMAN_E.sub(lambda m: m[0][0], s) if "ue" in s or "ae" in s or "oe" in s else s
 
 
 def scandinavian(s: str) -> str:

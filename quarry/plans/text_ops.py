@@ -115,8 +115,7 @@ def _every_analyzer(s, d):
 
 
 def _analyzed(s, d, name):
-    a = analyzers.analyzer(name)
-    return table(s, d, "documents").select(F.explode(a.tokens(F.col("text"))).alias("t")).groupBy("t.term").agg(F.count("*").alias("n"))
+    return analysis.term_counts(table(s, d, "documents"), "text", {name: analyzers.analyzer(name)}).select("term", "n")
 
 
 # --- parsers --------------------------------------------------------------------------------------------

@@ -2,7 +2,63 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
+import pytest
+
 from quarry import catalog
+from quarry.functions import analysis, analyzers
+
+
+def _once(split: bool) -> analysis.Analyzer:
+    """Of words; in a task it refuses a text that it has seen. split: it may be given the words one by one."""
+    seen: set[str] = set()
+
+    def words(text):
+        if text in seen:
+            raise ValueError(f"analysed again: {text}")
+        seen.add(text)
+        at = 0
+        for w in text.split():
+            yield analysis.Token(w, at, at + len(w))
+
+    return analysis.Analyzer(analysis.by_run(words) if split and hasattr(analysis, "by_run") else words)
+
+
+TEXTS = ["a b", "c", "a  b\tc d", None, "", "b c"] * 50 + ["d " * 300_000]
+
+
+@pytest.fixture
+def tables(spark, tmp_path):
+    spark.createDataFrame([(i, x, "en", "web") for i, x in enumerate(TEXTS)], "doc_id long, text string, lang string, source string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, x) for i, x in enumerate(["large ring", "hot bolt"] * 40 + [None])], "p_partkey long, p_name string").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    return str(tmp_path)
+
+
+@pytest.mark.parametrize("name", ["standard", "english", "german"])
+def test_words_are_analysed_once(spark, tables, monkeypatch, name):
+    monkeypatch.setattr(analyzers, "analyzer", lambda _: _once(True))
+    got = {r["term"]: r["n"] for r in catalog.QUERIES[f"analyze_{name}"](spark, tables).collect()}
+    assert got == dict(Counter(w for x in TEXTS if x for w in x.split()))
+
+
+@pytest.mark.parametrize("held", [(1 << 25, 300_000), (8, 300_000), (1 << 25, 3)])
+def test_term_counts_in_pieces(spark, monkeypatch, held):
+    """What is held is given out in between; runs of any length, white space beyond ASCII and weights count."""
+    monkeypatch.setattr(analysis, "HELD_CHARS", held[0])
+    monkeypatch.setattr(analysis, "HELD", held[1])
+    texts = [("The Äpfel's can't re-use x y", 1), ("漢字かな" * 40 + " ab", 2), ("été 3.14 a,b", 3), (None, 5), ("the the Häuser " * 90_000, 1)]
+    chains = {n: analyzers.analyzer(n) for n in ("german", "english", "cjk", "whitespace", "keyword")}
+    rows = spark.createDataFrame(texts, "x string, w long")
+    want = {n: Counter() for n in chains}
+    for x, w in texts:
+        for n, a in chains.items():
+            for t in a.terms(x):
+                want[n][t] += w
+    got = {n: Counter() for n in chains}
+    for r in analysis.term_counts(rows, "x", chains, "w").collect():
+        got[r["analyzer"]][r["term"]] += r["n"]
+    assert got == want
 
 
 def test_sessions_stay_out_of_the_driver(spark, tmp_path):
