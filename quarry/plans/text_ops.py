@@ -103,15 +103,9 @@ R.add("analyze_all")(lambda s, d: _every_analyzer(s, d))
 
 
 def _every_analyzer(s, d):
-    """(analyzer, term, n): the terms of part names and of the documents' languages under every chain."""
+    """(analyzer, term, n): the terms of part names and of the documents' languages under every chain, each different text analysed once."""
     names = table(s, d, "part").select(F.col("p_name").alias("x")).union(table(s, d, "documents").select(F.concat_ws(" ", "lang", "source")))
-    chains = {n: analyzers.analyzer(n) for n in analyzers.NAMES}
-
-    @F.pandas_udf("array<struct<analyzer:string,term:string>>")
-    def udf(x: pd.Series) -> pd.Series:
-        return x.map(lambda v: [{"analyzer": n, "term": t} for n, a in chains.items() for t in a.terms(v)])
-
-    return names.select(F.explode(udf("x")).alias("t")).groupBy("t.analyzer", "t.term").agg(F.count("*").alias("n"))
+    return analysis.term_counts(names.groupBy("x").agg(F.count("*").alias("times")), "x", {n: analyzers.analyzer(n) for n in analyzers.NAMES}, "times")
 
 
 def _analyzed(s, d, name):

@@ -42,6 +42,17 @@ def test_words_are_analysed_once(spark, tables, monkeypatch, name):
     assert got == dict(Counter(w for x in TEXTS if x for w in x.split()))
 
 
+def test_names_are_analysed_once(spark, tables, monkeypatch):
+    monkeypatch.setattr(analyzers, "analyzer", lambda _: _once(False))
+    monkeypatch.setattr(analyzers, "NAMES", ["once"])
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        got = {r["term"]: r["n"] for r in catalog.QUERIES["analyze_all"](spark, tables).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert got == {"large": 40, "ring": 40, "hot": 40, "bolt": 40, "en": len(TEXTS), "web": len(TEXTS)}
+
+
 @pytest.mark.parametrize("held", [(1 << 25, 300_000), (8, 300_000), (1 << 25, 3)])
 def test_term_counts_in_pieces(spark, monkeypatch, held):
     """What is held is given out in between; runs of any length, white space beyond ASCII and weights count."""
